@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .chat import format_chat, read_back
 from .common import table
 
@@ -29,7 +31,16 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_chat_formatting": op1_chat_formatting}
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
+QUERIES = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_byte_bpe": op2_byte_bpe,
+}
 
 ORACLE = {
     "op1_chat_formatting": r"""
