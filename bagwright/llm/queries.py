@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, langid, media, quality
 from .chat import format_chat, read_back
 from .common import table
 
@@ -37,9 +37,30 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as JPEG; every figure comes from the stored bytes."""
+    return media.features(media.store(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict for all documents, with their source as host."""
+    return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that aren't held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~held_out & F.col("doc_id").isNotNull()))
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_media_columns": op3_media_columns,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE = {
