@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, quality
+from . import bpe, langid, lines, media, packing, quality
 from .chat import format_chat, read_back
 from .common import table
 
@@ -42,6 +42,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that ten or more sources share."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict for all documents, with their source as host."""
     return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
@@ -55,12 +60,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces, packed into sequences of at most 2048 tokens."""
+    return packing.pack(packing.tokenized(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_media_columns": op3_media_columns,
+    "op5_line_dedup": op5_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE = {
@@ -85,4 +97,13 @@ SELECT conv_id, count(*) AS n_turns,
     THEN arg_max(role, k) ELSE 'error' END AS end_state,
   bool_and(coalesce(before, 'start') || '|' || role IN ('start|system', 'start|user', 'system|user', 'user|assistant', 'assistant|user', 'assistant|tool', 'tool|assistant')) AND arg_max(role, k) = 'assistant' AS valid
 FROM marked GROUP BY conv_id""",
+    "op5_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL),
+normal AS (SELECT *, trim(lower(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')), ' ') AS n FROM lines),
+shared AS (SELECT n, min(doc_id) AS keeper FROM normal WHERE n <> '' GROUP BY n HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT normal.*, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM normal LEFT JOIN shared USING (n))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') END AS text,
+  count(line) AS n_lines, count(*) FILTER (gone) AS n_removed
+FROM documents d LEFT JOIN marked USING (doc_id) GROUP BY d.doc_id, d.text""",
 }
