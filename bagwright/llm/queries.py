@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, media, packing, quality
+from . import bpe, langid, lines, media, packing, quality, suffix
 from .chat import format_chat, read_back
 from .common import table
 
@@ -42,6 +42,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents lose of their repeated 100-byte strings."""
+    return suffix.removed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that ten or more sources share."""
     return lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_removed")
@@ -69,6 +74,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_media_columns": op3_media_columns,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_language_id": op9_language_id,
