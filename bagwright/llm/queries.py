@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, media, packing, quality, suffix
+from . import bpe, extraction, jaccard, langid, lines, media, packing, quality, suffix
 from .chat import format_chat, read_back
 from .common import table
 
@@ -52,11 +52,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under links of near equality."""
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and verdict for all documents, with their source as host."""
     return quality.quality(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extraction.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those that aren't held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -76,7 +86,9 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extraction": op8_html_extraction,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
