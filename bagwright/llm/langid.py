@@ -82,6 +82,11 @@ def _portions(texts: list[str]) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def held_out(doc_id: str):
+    """Whether a row is held out from learning: its doc_id's checksum leaves 2 when divided by 4; a null id is not learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
+
+
 def fit(labelled: DataFrame, sample: int = 40_000, buckets: int = 1 << 16, smooth: float = 0.5) -> Model:
     """A model from ``labelled`` (doc_id, text, lang)."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
