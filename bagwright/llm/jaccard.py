@@ -35,33 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
+from .hashing import mixed, powers
 from .portions import BUCKET, SCHEMA, Row, answers, ask, batches_of, by_key, counted, mapped, meet, packed, portions, rows_of, total, unpacked
 
 WIDTH, PERCENT, MEMBERS, TOKENS, PARTNERS = 5, 75, 64, 64_000, 32
 
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(21).integers(1, 1 << 63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _BYTES = _BYTES[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 22)
-        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
 
 
 def shingles(text: bytes, sizes: np.ndarray) -> list[np.ndarray]:
@@ -77,19 +62,19 @@ def shingles(text: bytes, sizes: np.ndarray) -> list[np.ndarray]:
     begins[inner] = word[inner]
     stops[inner - 1] = word[inner - 1]
     start, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    power, inverse = _powers(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * power[: len(data)], out=sums[1:])
-    w = _mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
+    w = mixed((sums[stop] - sums[start]) * inverse[start] + (stop - start).astype(np.uint64))
     first = np.searchsorted(start, borders)
     n = len(w) - WIDTH + 1
-    all_ = _mixed(sum(w[k : k + n] * _FACTORS[k] for k in range(WIDTH))) if n > 0 else w[:0]
+    all_ = mixed(sum(w[k : k + n] * _FACTORS[k] for k in range(WIDTH))) if n > 0 else w[:0]
     out = []
     for lo, hi in zip(first[:-1].tolist(), first[1:].tolist()):
         if hi - lo >= WIDTH:
             out.append(np.unique(all_[lo : hi - WIDTH + 1]))
         elif hi > lo:
-            out.append(_mixed((w[lo:hi] * _FACTORS[: hi - lo]).sum(dtype=np.uint64, keepdims=True) + _FACTORS[WIDTH:] * np.uint64(hi - lo)))
+            out.append(mixed((w[lo:hi] * _FACTORS[: hi - lo]).sum(dtype=np.uint64, keepdims=True) + _FACTORS[WIDTH:] * np.uint64(hi - lo)))
         else:
             out.append(w[:0])
     return out
@@ -136,7 +121,7 @@ def _survivors(buckets: int):
             found = shingles(text, sizes)
             prefixes = [_prefix(x) for x in found]
             distinct, here = np.unique(np.concatenate([np.zeros(0, np.uint64), *prefixes]), return_counts=True)
-            often = distinct[(answers(replies, distinct, buckets) > 1) | (here > 1)]
+            often = distinct[(answers(replies, distinct, buckets)[0] > 1) | (here > 1)]
             out: list[tuple] = []
             for k in np.sort(firsts).tolist():
                 mine = prefixes[k]
@@ -230,7 +215,7 @@ def _postings(buckets: int):
         for group, own in by_key(rows):
             own = list(own)
             g = Group.read(own[0][3])
-            tokens, parts = posted(g, answers(own[1:], g.union, buckets))
+            tokens, parts = posted(g, answers(own[1:], g.union, buckets)[0])
             bucket = (tokens >> np.uint64(40)) % np.uint64(buckets)
             for b in np.unique(bucket).tolist():
                 at = bucket == b

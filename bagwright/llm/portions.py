@@ -33,7 +33,7 @@ Row = tuple[int, int, int, bytes]
 
 
 def packed(*values) -> bytes:
-    return zstandard.compress(pickle.dumps(values, protocol=5), 1)
+    return zstandard.compress(pickle.dumps(values, protocol=5), 3)
 
 
 def unpacked(blob: bytes) -> tuple:
@@ -129,49 +129,68 @@ def by_key(rows: Iterator[Row]) -> Iterator[tuple[int, Iterator[Row]]]:
     return itertools.groupby(rows, key=lambda r: r[0])
 
 
+def short(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits of unsigned integers, in six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def long_(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :6] = x
+    return out.view("<u8").ravel()
+
+
 def counted(asked: DataFrame) -> DataFrame:
-    """For rows (bucket, 0, 0, (portion, distinct uint64 keys)): rows (portion, 1, bucket, counts).
+    """For rows (bucket, 0, 0, (portion, keys, values)): rows (portion, 1, bucket, (counts, alike)).
 
-    A count is the number of portions that hold the key, 255 at most.
+    A count is the number of entries of a key (one for each portion that holds it, and value), 255
+    at most; alike tells whether all entries of the key have one value.
     """
 
     def run(rows: Iterator[Row]) -> Iterator[Row]:
         for bucket, own in by_key(rows):
-            portion, keys = zip(*(unpacked(r[3]) for r in own))
-            together = np.concatenate(keys)
+            portion, keys, values = zip(*(unpacked(r[3]) for r in own))
+            sizes = [len(k) for k in keys]
+            together = long_(np.concatenate(keys))
             order = np.argsort(together, kind="stable")
             ordered = together[order]
             first = np.ones(len(ordered), bool)
             first[1:] = ordered[1:] != ordered[:-1]
             starts = np.flatnonzero(first)
             n = np.diff(np.append(starts, len(ordered)))
-            count = np.empty(len(ordered), np.uint8)
+            count, alike = np.empty(len(ordered), np.uint8), np.ones(len(ordered), bool)
             count[order] = np.repeat(np.minimum(n, 255), n)
+            if values[0] is not None:
+                value = long_(np.concatenate(values))[order]
+                alike[order] = np.repeat(np.minimum.reduceat(value, starts) == np.maximum.reduceat(value, starts), n)
             at = 0
-            for p, k in zip(portion, keys):
-                yield (p, 1, bucket, packed(count[at : at + len(k)]))
-                at += len(k)
+            for p, k in zip(portion, sizes):
+                yield (p, 1, bucket, packed(count[at : at + k], np.packbits(alike[at : at + k])))
+                at += k
 
     return mapped(meet(asked), run)
 
 
-def ask(portion: int, keys: np.ndarray, buckets: int) -> Iterator[Row]:
-    """Rows for ``counted`` from the sorted distinct ``keys`` of a portion."""
+def ask(portion: int, keys: np.ndarray, buckets: int, values: np.ndarray | None = None) -> Iterator[Row]:
+    """Rows for ``counted`` from the distinct ``keys`` (with ``values``: distinct pairs) of a portion."""
     bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    keys, bucket = keys[order], bucket[order]
+    keys, bucket = short(keys[order]), bucket[order]
+    values = None if values is None else short(values[order])
     for b in np.unique(bucket).tolist():
         lo, hi = np.searchsorted(bucket, (np.uint64(b), np.uint64(b + 1)))
-        yield (b, 0, 0, packed(portion, keys[lo:hi]))
+        yield (b, 0, 0, packed(portion, keys[lo:hi], None if values is None else values[lo:hi]))
 
 
-def answers(rows: list[Row], keys: np.ndarray, buckets: int) -> np.ndarray:
-    """The count of each of ``keys``, as given to ``ask``, from the rows of ``counted``."""
+def answers(rows: list[Row], keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and likeness of each of ``keys``, as given to ``ask``, from the rows of ``counted``."""
     bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-    count = np.zeros(len(keys), np.uint8)
+    count, alike = np.zeros(len(keys), np.uint8), np.ones(len(keys), bool)
     order = np.argsort(bucket, kind="stable")
     ordered = bucket[order]
     for _, _, b, blob in rows:
         lo, hi = np.searchsorted(ordered, (np.uint64(b), np.uint64(b + 1)))
-        count[order[lo:hi]] = unpacked(blob)[0]
-    return count
+        n, same = unpacked(blob)
+        count[order[lo:hi]] = n
+        alike[order[lo:hi]] = np.unpackbits(same, count=len(n)).astype(bool)
+    return count, alike

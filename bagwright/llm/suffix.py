@@ -5,8 +5,10 @@
    context. Anchors are counted across portions of the corpus; windows whose anchor comes once
    are unique and go no further (exact: no repeated window is lost).
 2. Contexts with a repeated anchor go to the shard of their anchor, each different one of a portion
-   once. Windows whose anchor lies in ``HOT`` or more portions go one by one, by their own
-   content, so that no anchor's contexts meet in one task.
+   once; their text goes along only if the anchor has different contexts (of equal ones
+   the earliest stays, which needs no order of suffixes). Windows of such an anchor that lies in
+   ``HOT`` or more portions go one by one, by their own content, so that no anchor's contexts
+   meet in one task.
 3. A shard brings its different contexts into suffix order by external induced sorting
    (``induced``); its text and queues are on the task's disk, so it may be far larger than memory.
    Windows that have ``LENGTH`` bytes in common are neighbours then; all but the earliest go.
@@ -33,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import saved
+from .hashing import mixed, powers
 from .induced import BASE, clusters
 from .portions import BUCKET, Row, answers, ask, by_key, counted, mapped, meet, packed, portions, rows_of, total, unpacked
 
@@ -43,10 +45,10 @@ SHARD, HELD = 16 << 20, 64 << 20
 
 
 def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: hash, first window, windows, and whether the anchor comes twice in it."""
+    """Runs of windows with one anchor: hash, first window, windows, whether the anchor comes twice in it, hash of the context."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool), none.astype(np.uint64)
     x = (data.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h = x ^ (x >> np.uint64(29))
     n = 1
@@ -69,7 +71,7 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, width: int =
     np.add.at(edge, ends[has] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(edge[: len(least)]) > 0)
     if not len(at):
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool), none.astype(np.uint64)
     own = least[at]
     new = np.ones(len(at), bool)
     new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)
@@ -82,7 +84,12 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, width: int =
     begins = np.concatenate(([0], np.cumsum(h[at] == own)))
     # The last window of a run may begin with the anchor; an earlier one only if the anchor comes again.
     again = begins[first + n - 1] - begins[first] > 0
-    return own[first], at[first], n, again
+    sums = np.zeros(len(data) + 1, np.uint64)
+    power, inverse = powers(len(data) + 1)
+    np.cumsum(x * power[: len(data)], out=sums[1:])
+    start, stop = at[first], at[first] + n + length - 1
+    content = mixed((sums[stop] - sums[start]) * inverse[start] + n.astype(np.uint64))
+    return own[first], start, n, again, content
 
 
 def _windows(portion: int, blob: bytes) -> tuple:
@@ -98,7 +105,9 @@ def _content(text: bytes) -> int:
 def _asked(buckets: int):
     def run(rows: Iterator[Row]) -> Iterator[Row]:
         for portion, _, _, blob in rows:
-            yield from ask(portion, np.unique(_windows(portion, blob)[4]), buckets)
+            *_, anchor, _, _, _, content = _windows(portion, blob)
+            pairs = np.unique(np.stack((anchor, content)), axis=1)
+            yield from ask(portion, pairs[0], buckets, pairs[1])
 
     return run
 
@@ -109,51 +118,56 @@ def _contexts(buckets: int, shards: int):
     def run(rows: Iterator[Row]) -> Iterator[Row]:
         for portion, own in by_key(rows):
             own = list(own)
-            ids, nulls, sizes, text, anchor, start, n, again = _windows(portion, own[0][3])
-            distinct, inverse, here = np.unique(anchor, return_inverse=True, return_counts=True)
-            count = answers(own[1:], distinct, buckets)
+            ids, nulls, sizes, text, anchor, start, n, again, content = _windows(portion, own[0][3])
+            pairs, inverse, here = np.unique(np.stack((anchor, content)), axis=1, return_inverse=True, return_counts=True)
+            count, alike = answers(own[1:], pairs[0], buckets)
             hot = (count >= HOT)[inverse]
+            # Counts are of pairs; a pair that comes again in the portion is repeated too.
             hit = ((count > 1) | (here > 1))[inverse] | again
-            hits = np.flatnonzero(hit)
-            ends = np.cumsum(sizes)
-            doc = np.searchsorted(ends, start[hits], "right")
+            text_goes = ~alike[inverse] | again
+            plain = np.flatnonzero(hit & ~text_goes)
+            distinct, first, entry = np.unique(anchor[plain], return_index=True, return_inverse=True)
+            first = plain[first]
+            tables = [np.stack((start[plain], n[plain], entry), axis=1)]
+            keys, at, width, loop = distinct, start[first], n[first], np.zeros(len(first), bool)
+            hits = np.flatnonzero(hit & text_goes)
             known: dict[bytes, int] = {}
-            entry, first, size, keys, pieces, loops, number = [], [], [], [], [], [], []
-            for k, (a, m, is_hot, twice, key) in enumerate(zip(start[hits].tolist(), n[hits].tolist(), hot[hits].tolist(), again[hits].tolist(), anchor[hits].tolist())):
-                parts = ((a + i, 1) for i in range(m)) if is_hot else ((a, m),)
-                for at, width in parts:
-                    context = text[at : at + width + LENGTH - 1]
+            rest, more = [], []
+            for a, m, is_hot, twice, key in zip(start[hits].tolist(), n[hits].tolist(), hot[hits].tolist(), again[hits].tolist(), anchor[hits].tolist()):
+                for a, m in ((a + i, 1) for i in range(m)) if is_hot else ((a, m),):
+                    context = text[a : a + m + LENGTH - 1]
                     e = known.setdefault(context, len(known))
-                    entry.append((k, at, width, e))
-                    if e == len(pieces):
-                        pieces.append(context)
-                        first.append(at)
-                        size.append(width)
-                        keys.append(_content(context) if is_hot else key)
-                        loops.append(twice)
-                        number.append(k)
-            if not entry:
+                    rest.append((a, m, e + len(distinct)))
+                    if e == len(more):
+                        more.append((_content(context) if is_hot else key, a, m, twice))
+            if rest:
+                tables.append(np.array(rest, np.int64))
+                k, a, m, twice = zip(*more)
+                keys, at, width, loop = np.append(keys, np.array(k, np.uint64)), np.append(at, a), np.append(width, m), np.append(loop, twice)
+            if not len(keys):
                 continue
-            table = np.array([x[1:] for x in entry], np.int64)
-            yield (portion, 1, 0, packed(table))
-            of = doc[np.array(number)]
-            begin = np.array(first, np.int64) - (ends - sizes)[of]
-            keys_ = np.array(keys, np.uint64)
-            shard = ((keys_ >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
+            yield (portion, 1, 0, packed(np.concatenate(tables).astype(np.int32)))
+            ends = np.cumsum(sizes)
+            of = np.searchsorted(ends, at, "right")
+            begin = at - (ends - sizes)[of]
+            pieces = list(known)
+            shard = ((keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                at = part.tolist()
-                columns = (keys_[part], part, ids[of[part]], nulls[of[part]], of[part], begin[part], np.array(size, np.int64)[part], np.array(loops, bool)[part])
-                yield (-1 - int(shard[part[0]]), 2, 0, packed(portion, columns, b"".join([pieces[i] for i in at])))
+                columns = (keys[part], part.astype(np.int32), ids[of[part]], nulls[of[part]], of[part].astype(np.int32), begin[part].astype(np.int32 if len(text) < 1 << 31 else np.int64), width[part].astype(np.int32), loop[part], part < len(distinct))
+                yield (-1 - int(shard[part[0]]), 2, 0, packed(portion, columns, b"".join([pieces[i - len(distinct)] for i in part.tolist() if i >= len(distinct)])))
 
     return run
 
 
 def _shard(base: int, held: int):
-    """From rows (-1 - shard, 2, 0, contexts): rows (portion, 2, 0, spans of windows that go, per context)."""
+    """From rows (-1 - shard, 2, 0, contexts): rows (portion, 2, 0, spans of windows that go, per context). Others pass."""
 
     def run(rows: Iterator[Row]) -> Iterator[Row]:
-        for _, own in by_key(rows):
+        for key, own in by_key(rows):
+            if key >= 0:
+                yield from own
+                continue
             with tempfile.TemporaryDirectory() as folder:
                 yield from judged(own, folder, base, held)
 
@@ -167,10 +181,11 @@ def judged(rows: Iterator[Row], folder: str, base: int = BASE, held: int = HELD)
         f.write(b"\0")
         for r in rows:
             portion, columns, text = unpacked(r[3])
-            ends = np.cumsum(columns[6] + LENGTH - 1)
-            context = np.empty(len(ends), np.int64)
+            columns = tuple(c.astype(np.int64) if c.dtype == np.int32 else c for c in columns)
+            plain = columns[8]
+            context = np.full(len(plain), -1, np.int64)
             lo = 0
-            for i, hi in enumerate(ends.tolist()):
+            for i, hi in zip(np.flatnonzero(~plain).tolist(), np.cumsum(columns[6][~plain] + LENGTH - 1).tolist()):
                 piece = text[lo:hi]
                 lo = hi
                 mark = hashlib.blake2b(piece, digest_size=16).digest()
@@ -181,20 +196,21 @@ def judged(rows: Iterator[Row], folder: str, base: int = BASE, held: int = HELD)
                     f.write((np.frombuffer(piece, np.uint8) + np.uint8(1)).tobytes() + b"\0")
                     at += len(piece) + 1
                 context[i] = c
-            tables.append((np.full(len(ends), portion), *columns, context))
+            tables.append((np.full(len(plain), portion), *columns, context))
         f.write(bytes(16))
     del known
-    portion, key, entry, ids, nulls, doc, begin, width, loop, context = (np.concatenate(c) for c in zip(*tables))
+    portion, key, entry, ids, nulls, doc, begin, width, loop, plain, context = (np.concatenate(c) for c in zip(*tables))
+    context[plain] = len(places) + np.unique(key[plain], return_inverse=True)[1]
     order = np.lexsort((begin, doc, portion, ids, nulls))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    n = len(places)
+    n = int(context.max()) + 1
     earliest = np.full(n, len(order), np.int64)
     np.minimum.at(earliest, context, rank)
     is_first = rank == earliest[context]
     spans = [np.stack((portion, entry, np.zeros(len(entry), np.int64), width))[:, ~is_first]]
     # Of each different context its first place; those alone with their anchor hold nothing repeated.
-    one = np.flatnonzero(is_first)
+    one = np.flatnonzero(is_first & ~plain)
     one = one[np.argsort(context[one])]
     _, inverse, count = np.unique(key[one], return_inverse=True, return_counts=True)
     sort = (count[inverse] > 1) | loop[one]
@@ -271,7 +287,7 @@ def _gone(text: bytes, held: list[Row]) -> np.ndarray | None:
     if not held:
         return None
     (table,) = unpacked(held[0][3])
-    at, width, entry = table.T
+    at, width, entry = table.T.astype(np.int64)
     n = int(entry.max()) + 1
     first = np.zeros(len(entry), bool)
     first[np.unique(entry, return_index=True)[1]] = True
@@ -287,15 +303,14 @@ def _gone(text: bytes, held: list[Row]) -> np.ndarray | None:
     return np.cumsum(edge[: len(text)]) > 0
 
 
-def marked(docs: DataFrame, base: int = BASE, held: int = HELD, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Portions of ``docs``, what each holds repeated, and what of that goes (rows for ``meet``)."""
+def marked(docs: DataFrame, base: int = BASE, held: int = HELD, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Portions of ``docs``; what each holds repeated (kind 1) and what of that goes (kind 2)."""
     all_ = portions(docs, keep=keep)
     size = total(all_)
     buckets, shards = max(1, -(-size // BUCKET)), max(1, -(-size // SHARD))
     counts = counted(mapped(all_, _asked(buckets)))
-    contexts = saved(mapped(meet(all_, counts), _contexts(buckets, shards)), "contexts")
-    verdicts = mapped(meet(contexts.filter("kind = 2")), _shard(base, held))
-    return all_, contexts.filter("kind = 1"), verdicts
+    contexts = mapped(meet(all_, counts), _contexts(buckets, shards))
+    return all_, mapped(meet(contexts), _shard(base, held))
 
 
 def removed(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
