@@ -134,7 +134,7 @@ def _contexts(buckets: int, shards: int):
             known: dict[bytes, int] = {}
             rest, more = [], []
             for a, m, is_hot, twice, key in zip(start[hits].tolist(), n[hits].tolist(), hot[hits].tolist(), again[hits].tolist(), anchor[hits].tolist()):
-                for a, m in ((a + i, 1) for i in range(m)) if is_hot else ((a, m),):
+                for a, m in [(a + i, 1) for i in range(m)] if is_hot else [(a, m)]:
                     context = text[a : a + m + LENGTH - 1]
                     e = known.setdefault(context, len(known))
                     rest.append((a, m, e + len(distinct)))
