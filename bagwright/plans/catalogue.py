@@ -1,15 +1,425 @@
-"""Registered queries over the keyed-table engine."""
+"""Registered queries over the keyed-table engine and their SQL."""
 
 from __future__ import annotations
 
+import datetime as dt
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.domains import DATE, enum
+from ..functions.expressions import all_, any_, count, lift, max_, mean, min_, sum_, to_real
+from ..operators.table import KeyedTable, cond, evaluate, folds, row
+from ..sources.stores import bag_source, load, store
+from ..streaming import windows
+
+FLAG, STATUS, LINE = enum("A", "N", "R"), enum("F", "O", "P"), enum("F", "O")
+PRIORITY = enum("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+LANG = enum("de", "en", "es", "fr")
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) that gives a KeyedTable or DataFrame, with its SQL."""
+
+    def keep(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(lambda name: load(spark, sf_dir, name))
+            return out.to_df() if isinstance(out, KeyedTable) else out
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(t: KeyedTable, *names: str) -> DataFrame:
+    """Sums of doubles depend on the order of their terms; four places don't."""
+    return t.to_df().withColumns({n: F.round(n, 4) for n in names})
+
+
+def orders(get) -> KeyedTable:
+    return store(get("orders"), ["o_orderkey"], domains={"o_orderstatus": STATUS, "o_orderpriority": PRIORITY}, const=("o_orderdate",))
+
+
+def customers(get) -> KeyedTable:
+    return store(get("customer"), ["c_custkey"])
+
+
+def nations(get) -> KeyedTable:
+    return store(get("nation"), ["n_nationkey"])
+
+
+def lines(get, *index: str) -> KeyedTable:
+    values = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
+    return bag_source(get("lineitem"), list(index), [v for v in values if v not in index], {"l_returnflag": FLAG, "l_linestatus": LINE})
+
+
+def by_nation(get) -> KeyedTable:
+    return bag_source(get("customer"), ["c_nationkey"], unique=("c_custkey",))
+
+
+def documents(get) -> KeyedTable:
+    return store(get("documents"), ["doc_id"], ["lang", "source", "n_chars"], {"lang": LANG})
+
+
+def labels(get) -> KeyedTable:
+    return store(get("labels"), ["doc_id"])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue per order and return flag of lines with a discount."""
+    get = lambda name: load(spark, sf_dir, name)
+    t = lines(get, "l_orderkey").map(lambda k, r: cond(r.l_discount > 0.0, row(l_returnflag=r.l_returnflag, revenue=r.l_extendedprice * (1.0 - r.l_discount)), ()))
+    return rounded(t.extend_key("l_returnflag").group_map(lambda k, g: row(revenue=sum_(g.revenue), n=count(g.revenue))), "revenue")
+
+
+QUERIES["flagship_revenue"] = flagship
+ORACLE["flagship_revenue"] = "SELECT l_orderkey, l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS n FROM lineitem WHERE l_discount > 0 GROUP BY 1, 2"
+
+_ORDERS = "o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+@query(f"SELECT {_ORDERS} FROM orders")
+def store_scan(get):
+    return orders(get)
+
+
+@query("SELECT c_custkey, round(c_acctbal / 2.0, 4) AS half FROM customer")
+def map_derive(get):
+    return rounded(customers(get).map(lambda k, r: row(half=r.c_acctbal / 2.0)), "half")
+
+
+@query("SELECT o_orderkey, o_orderkey + 1 AS next_key FROM orders")
+def map_key_read(get):
+    return orders(get).map(lambda k, r: row(next_key=k.o_orderkey + 1))
+
+
+@query(f"SELECT {_ORDERS} FROM orders")
+def map_identity(get):
+    return orders(get).map(lambda k, r: r)
+
+
+@query(f"SELECT {_ORDERS} FROM orders WHERE o_totalprice > 100000.0")
+def map_filter(get):
+    return orders(get).map(lambda k, r: cond(r.o_totalprice > 100000.0, r, ()))
+
+
+@query(f"SELECT {_ORDERS} FROM orders WHERE o_orderstatus = 'F'")
+def map_filter_enum(get):
+    return orders(get).filter(lambda k, r: r.o_orderstatus == "F")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_orderstatus = 'F' OR o_orderstatus = 'O') AND NOT (o_totalprice < 50000.0)")
+def map_bool_ops(get):
+    return orders(get).filter(lambda k, r: ((r.o_orderstatus == "F") | (r.o_orderstatus == "O")) & ~(r.o_totalprice < 50000.0)).select("o_totalprice")
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_totalprice >= 150000.0 THEN 1 ELSE 0 END AS BIGINT) AS big FROM orders")
+def map_case_field(get):
+    return orders(get).map(lambda k, r: row(big=cond(r.o_totalprice >= 150000.0, 1, 0)))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE c_mktsegment END AS kind, CASE WHEN c_acctbal < 0 THEN -c_acctbal ELSE c_acctbal END AS amount FROM customer")
+def map_branch_rows(get):
+    return customers(get).map(lambda k, r: cond(r.c_acctbal < 0.0, row(kind=lift("debt"), amount=-r.c_acctbal), row(kind=r.c_mktsegment, amount=r.c_acctbal)))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name AS label, CAST(n_regionkey AS BIGINT) AS number FROM nation UNION ALL SELECT n_nationkey, 'copy', -n_regionkey FROM nation")
+def map_expand(get):
+    return nations(get).map(lambda k, r: (row(label=r.n_name, number=r.n_regionkey), row(label=lift("copy"), number=-r.n_regionkey)))
+
+
+@query("SELECT c_custkey, 'low' AS kind, c_acctbal AS amount FROM customer WHERE c_acctbal < 1000 UNION ALL SELECT c_custkey, 'all', c_acctbal + 1 FROM customer WHERE c_acctbal < 1000")
+def map_guarded_expand(get):
+    return customers(get).map(lambda k, r: cond(r.c_acctbal < 1000.0, (row(kind=lift("low"), amount=r.c_acctbal), row(kind=lift("all"), amount=r.c_acctbal + 1.0)), ()))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_nationkey AS BIGINT) * n_nationkey AS square FROM nation")
+def map_int_pow(get):
+    return nations(get).map(lambda k, r: row(square=k.n_nationkey**2))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1995-01-01'")
+def map_date_cmp(get):
+    return store(get("orders"), ["o_orderkey"], ["o_orderdate"], {"o_orderdate": DATE}).filter(lambda k, r: r.o_orderdate < dt.date(1995, 1, 1))
+
+
+@query("SELECT l_orderkey, l_returnflag, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1, 2")
+def extend_group_sum(get):
+    return rounded(lines(get, "l_orderkey").extend_key("l_returnflag").group_map(lambda k, g: row(quantity=sum_(g.l_quantity))), "quantity")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, min(c_acctbal) AS low, max(c_acctbal) AS high, round(sum(c_acctbal), 4) AS total, count(*) AS n FROM customer GROUP BY 1")
+def group_all_aggs(get):
+    return rounded(by_nation(get).group_map(lambda k, g: row(low=min_(g.c_acctbal), high=max_(g.c_acctbal), total=sum_(g.c_acctbal), n=count(g.c_name))), "total")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, bool_or(c_acctbal < 0) AS some_debt, bool_and(c_acctbal < 9000) AS none_rich FROM customer GROUP BY 1")
+def group_any_all(get):
+    t = by_nation(get).map(lambda k, r: row(debt=r.c_acctbal < 0.0, modest=r.c_acctbal < 9000.0))
+    return t.group_map(lambda k, g: row(some_debt=any_(g.debt), none_rich=all_(g.modest)))
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, round(sum(c_acctbal) / count(*), 4) AS mean FROM customer GROUP BY 1")
+def group_mean_real(get):
+    return rounded(by_nation(get).group_map(lambda k, g: row(mean=sum_(g.c_acctbal) / to_real(count(g.c_acctbal)))), "mean")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, round(sum(c_custkey) / CAST(count(*) AS DOUBLE), 4) AS mean FROM customer GROUP BY 1")
+def group_mean_int(get):
+    return rounded(by_nation(get).group_map(lambda k, g: row(mean=mean(g.c_custkey))), "mean")
+
+
+@query("SELECT DISTINCT l_orderkey, CAST(1 AS BIGINT) AS n FROM lineitem")
+def group_const(get):
+    return lines(get, "l_orderkey").group_map(lambda k, g: row(n=1))
+
+
+@query("SELECT l_orderkey, l_orderkey + count(*) AS sum_key FROM lineitem GROUP BY 1")
+def group_key_field(get):
+    return lines(get, "l_orderkey").group_map(lambda k, g: row(sum_key=k.l_orderkey + count(g.l_quantity)))
+
+
+@query("SELECT l_orderkey, bool_or(l_returnflag = 'A') AS returned FROM lineitem GROUP BY 1")
+def group_membership(get):
+    return lines(get, "l_orderkey").group_map(lambda k, g: row(returned=lift("A").is_in(g.l_returnflag)))
+
+
+@query("SELECT count(*) AS n FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0")
+def group_empty_strict(get):
+    return lines(get).filter(lambda k, r: r.l_quantity < 0.0).group_map(lambda k, g: row(n=count(g.l_quantity)))
+
+
+@query("SELECT o_orderkey, o_totalprice AS total, CAST(1 AS BIGINT) AS n FROM orders")
+def group_singletons(get):
+    return orders(get).group_map(lambda k, g: row(total=sum_(g.o_totalprice), n=count(g.o_totalprice)))
+
+
+@query("SELECT l_orderkey, l_quantity AS q FROM lineitem")
+def window_project(get):
+    return lines(get, "l_orderkey").group_map(lambda k, g: row(q=g.l_quantity))
+
+
+@query("SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) AS line FROM lineitem")
+def window_to_real(get):
+    return lines(get, "l_orderkey").group_map(lambda k, g: row(line=to_real(g.l_linenumber)))
+
+
+@query(f"SELECT {_ORDERS}, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def left_join_functional(get):
+    return orders(get).left_join(customers(get), lambda k, r: r.o_custkey)
+
+
+@query("SELECT d.doc_id, lang, l.quality IS NULL AS unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def left_join_missing(get):
+    return documents(get).left_join(labels(get), lambda k, r: k.doc_id).map(lambda k, r: row(lang=r.lang, unlabelled=r.quality.is_missing()))
+
+
+@query("SELECT d.doc_id, lang, coalesce(CAST(l.quality AS BIGINT), -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def default_missing(get):
+    return documents(get).left_join(labels(get), lambda k, r: k.doc_id).map(lambda k, r: row(lang=r.lang, quality=r.quality.default(-1)))
+
+
+@query("SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN CAST(l.quality AS BIGINT) + 1 ELSE 0 END AS score FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def narrow_known(get):
+    t = documents(get).left_join(labels(get), lambda k, r: k.doc_id)
+    return t.map(lambda k, r: cond(r.quality.is_known(), lambda own: row(score=own.quality + 1), row(score=0)))
+
+
+@query("SELECT d.doc_id, lang, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def inner_join_drop(get):
+    return documents(get).select("lang").inner_join(labels(get), lambda k, r: k.doc_id)
+
+
+@query("SELECT o_orderkey, o_totalprice, c_mktsegment, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def join_chain(get):
+    t = orders(get).inner_join(customers(get), lambda k, r: r.o_custkey).inner_join(nations(get), lambda k, r: r.c_nationkey)
+    return t.select("o_totalprice", "c_mktsegment", "n_name")
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, c_custkey, c_acctbal FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey")
+def join_bag_right(get):
+    right = bag_source(get("customer"), ["c_nationkey"], ["c_custkey", "c_acctbal"])
+    return nations(get).select("n_name").left_join(right, lambda k, r: k.n_nationkey)
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_join(get):
+    return documents(get).select("lang").anti_join(labels(get), lambda k, r: k.doc_id)
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_via_inner(get):
+    return documents(get).select("lang").inner_join(labels(get), lambda k, r: k.doc_id).select("lang")
+
+
+def _halves(get):
+    t = lines(get, "l_orderkey").select("l_returnflag", "l_quantity")
+    return t, t.split(lambda k: k.l_orderkey < 30000)
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem WHERE l_orderkey < 30000")
+def split_first(get):
+    return _halves(get)[1][0]
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem WHERE NOT l_orderkey < 30000")
+def split_second(get):
+    return _halves(get)[1][1]
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem")
+def split_bind_identity(get):
+    a, b = _halves(get)[1]
+    return a.bind(b)
+
+
+@query("SELECT l_orderkey, l_returnflag, round(sum(l_quantity), 4) AS q FROM lineitem GROUP BY 1, 2")
+def split_safe_pipeline(get):
+    f = lambda t: t.extend_key("l_returnflag").group_map(lambda k, g: row(q=sum_(g.l_quantity)))
+    a, b = _halves(get)[1]
+    return rounded(f(a).bind(f(b)), "q")
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity, CASE WHEN l_orderkey < 30000 THEN CASE WHEN l_orderkey < 10000 THEN 'a' ELSE 'b' END ELSE CASE WHEN l_orderkey < 50000 THEN 'c' ELSE 'd' END END AS bucket FROM lineitem")
+def nested_split(get):
+    a, b = _halves(get)[1]
+    parts = [*a.split(lambda k: k.l_orderkey < 10000), *b.split(lambda k: k.l_orderkey < 50000)]
+    named = [t.mutate(bucket=lambda k, r, n=n: lift(n)) for t, n in zip(parts, "abcd")]
+    return named[0].bind(named[1]).bind(named[2].bind(named[3]))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 10")
+def bind_overlap(get):
+    t = nations(get).select("n_name")
+    return t.bind(t.filter(lambda k, r: k.n_nationkey < 10))
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS balance, 'customer' AS tag FROM customer UNION ALL SELECT CAST(s_suppkey AS BIGINT), s_acctbal, 'supplier' FROM supplier")
+def tagged_bind(get):
+    return _tagged(get)
+
+
+def _tagged(get):
+    a = store(get("customer").selectExpr("c_custkey AS key", "c_acctbal AS balance"), ["key"])
+    b = store(get("supplier").selectExpr("s_suppkey AS key", "s_acctbal AS balance"), ["key"])
+    return a.tagged_bind(b, "customer", "supplier")
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS key, s_acctbal AS balance FROM supplier")
+def tagged_split(get):
+    return _tagged(get).tagged_split("supplier")
+
+
+@query("UNPIVOT (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_retailprice, CAST(p_size AS DOUBLE) AS p_size FROM part) ON p_retailprice, p_size INTO NAME name VALUE value")
+def unpivot_wide(get):
+    return store(get("part"), ["p_partkey"]).map(lambda k, r: row(p_retailprice=r.p_retailprice, p_size=to_real(r.p_size))).unpivot("p_retailprice", "p_size")
+
+
+_PIVOT = ", ".join(f"max(n) FILTER (o_orderpriority = '{v}') AS \"{v}\"" for v in PRIORITY.variants)
+
+
+def _counts(get) -> KeyedTable:
+    t = bag_source(get("orders"), ["o_custkey"], ["o_orderkey", "o_orderpriority"], {"o_orderpriority": PRIORITY}, complete=True)
+    return t.extend_key("o_orderpriority").group_map(lambda k, g: row(n=count(g.o_orderkey)))
+
+
+_COUNTED = "SELECT CAST(o_custkey AS BIGINT) AS o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2"
+
+
+@query(f"SELECT o_custkey, {_PIVOT} FROM ({_COUNTED}) GROUP BY 1")
+def pivot_attr(get):
+    return _counts(get).shrink_key("o_orderpriority").pivot("o_orderpriority", "n")
+
+
+@query(f"SELECT o_custkey, {_PIVOT} FROM ({_COUNTED}) GROUP BY 1")
+def pivot_index(get):
+    return _counts(get).pivot_index("o_orderpriority", "n")
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_retailprice, CAST(p_size AS DOUBLE) AS p_size FROM part")
+def pivot_unpivot_roundtrip(get):
+    t = store(get("part"), ["p_partkey"], complete=True).map(lambda k, r: row(p_retailprice=r.p_retailprice, p_size=to_real(r.p_size)))
+    return t.unpivot("p_retailprice", "p_size").pivot_index("name", "value")
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity), 4) AS quantity FROM lineitem GROUP BY 1")
+def shrink_group(get):
+    t = lines(get, "l_orderkey", "l_linenumber").extend_key("l_returnflag").assume(complete=True).shrink_key("l_orderkey", "l_linenumber")
+    return rounded(t.group_map(lambda k, g: row(quantity=sum_(g.l_quantity))), "quantity")
+
+
+@query("SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem")
+def distinct_bag(get):
+    return lines(get, "l_orderkey").select("l_returnflag").distinct()
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def sugar_select(get):
+    return customers(get).select("c_name")
+
+
+@query("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment, c_acctbal * 2 AS twice FROM customer")
+def sugar_mutate(get):
+    return customers(get).mutate(twice=lambda k, r: r.c_acctbal * 2.0)
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def completeness_gate(get):
+    t = orders(get).select("o_orderpriority").extend_key("o_orderpriority")
+    t = t.completeness_check(lambda t: t.df.filter("o_orderkey IS NULL").isEmpty())
+    return t.shrink_key("o_orderkey").group_map(lambda k, g: row(n=count(g.o_orderkey)))
+
+
+def _events(get) -> KeyedTable:
+    return bag_source(get("events"), ["user_id"], ["event_id", "ts", "event_type", "value"], unique=("event_id",))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events")
+def cumsum_window(get):
+    return rounded(_events(get).ordered("event_id", total=("cumsum", "value")).select("event_id", "total"), "total")
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, event_id, rank() OVER (PARTITION BY user_id ORDER BY value) AS place FROM events")
+def rank_window(get):
+    return _events(get).ordered("value", place=("rank", None)).select("event_id", "place")
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events")
+def lag_window(get):
+    return _events(get).ordered("event_id", before=("lag", "event_type")).select("event_id", "before")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_events(get):
+    return windows.windowed(get("events"), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")])
+
+
+@query("SELECT w AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY 1, 2")
+def sliding_events(get):
+    return windows.windowed(get("events"), "ts", "2 hours", ["event_type"], [F.count(F.lit(1)).alias("n")], slide="1 hour")
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY 1")
+def latest_event(get):
+    return windows.latest(get("events").select("user_id", "event_id", "ts"), ["user_id"], "ts", "event_id")
+
+
+@query("SELECT CAST(doc_id % 3 AS BIGINT) AS fold, count(*) FILTER (l.quality = 1) AS good, count(*) AS n FROM labels l GROUP BY 1")
+def kfold_disjoint(get):
+    t = labels(get)
+    parts = [evaluate(train, test, lambda d: None, lambda _, d, i=i: d.agg(F.lit(i).cast("bigint").alias("fold"), F.count_if(F.col("quality") == 1).alias("good"), F.count(F.lit(1)).alias("n"))) for i, (train, test) in enumerate(folds(t, 3, lambda k: k.doc_id))]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
