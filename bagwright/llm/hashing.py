@@ -11,7 +11,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 1 << 21)
         _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS[0], _POWERS[1]
 

@@ -26,7 +26,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNDETERMINED, SIZES, EVIDENCE, PORTION = "und", (2, 3), 64, 1 << 20
+UNDETERMINED, SIZES, EVIDENCE, PORTION = "und", (2, 3), 64, 1 << 18
 
 
 @dataclass(frozen=True)

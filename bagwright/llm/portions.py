@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Bytes of text in a portion (a longer document is a portion of its own), and of text per bucket of keys.
-PORTION, BUCKET = 2 << 20, 32 << 20
+PORTION, BUCKET = 1 << 20, 32 << 20
 SCHEMA = "key long, kind int, part int, blob binary"
 _NAMES = ["key", "kind", "part", "blob"]
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
