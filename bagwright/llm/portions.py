@@ -26,6 +26,8 @@ from .common import saved
 
 #: Bytes of text in a portion (a longer document is a portion of its own), and of text per bucket of keys.
 PORTION, BUCKET = 1 << 20, 32 << 20
+#: Counts of a key beyond this aren't told apart.
+MOST = (1 << 16) - 1
 SCHEMA = "key long, kind int, part int, blob binary"
 _NAMES = ["key", "kind", "part", "blob"]
 _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
@@ -143,7 +145,7 @@ def long_(x: np.ndarray) -> np.ndarray:
 def counted(asked: DataFrame) -> DataFrame:
     """For rows (bucket, 0, 0, (portion, keys, values)): rows (portion, 1, bucket, (counts, alike)).
 
-    A count is the number of entries of a key (one for each portion that holds it, and value), 255
+    A count is the number of entries of a key (one for each portion that holds it, and value), MOST
     at most; alike tells whether all entries of the key have one value.
     """
 
@@ -158,8 +160,8 @@ def counted(asked: DataFrame) -> DataFrame:
             first[1:] = ordered[1:] != ordered[:-1]
             starts = np.flatnonzero(first)
             n = np.diff(np.append(starts, len(ordered)))
-            count, alike = np.empty(len(ordered), np.uint8), np.ones(len(ordered), bool)
-            count[order] = np.repeat(np.minimum(n, 255), n)
+            count, alike = np.empty(len(ordered), np.uint16), np.ones(len(ordered), bool)
+            count[order] = np.repeat(np.minimum(n, MOST), n)
             if values[0] is not None:
                 value = long_(np.concatenate(values))[order]
                 alike[order] = np.repeat(np.minimum.reduceat(value, starts) == np.maximum.reduceat(value, starts), n)
@@ -185,7 +187,7 @@ def ask(portion: int, keys: np.ndarray, buckets: int, values: np.ndarray | None
 def answers(rows: list[Row], keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Count and likeness of each of ``keys``, as given to ``ask``, from the rows of ``counted``."""
     bucket = (keys >> np.uint64(40)) % np.uint64(buckets)
-    count, alike = np.zeros(len(keys), np.uint8), np.ones(len(keys), bool)
+    count, alike = np.zeros(len(keys), np.uint16), np.ones(len(keys), bool)
     order = np.argsort(bucket, kind="stable")
     ordered = bucket[order]
     for _, _, b, blob in rows:

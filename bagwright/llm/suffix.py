@@ -6,8 +6,8 @@
    are unique and go no further (exact: no repeated window is lost).
 2. Contexts with a repeated anchor go to the shard of their anchor, each different one of a portion
    once; their text goes along only if the anchor has different contexts (of equal ones
-   the earliest stays, which needs no order of suffixes). Windows of such an anchor that lies in
-   ``HOT`` or more portions go one by one, by their own content, so that no anchor's contexts
+   the earliest stays, which needs no order of suffixes). Windows of an anchor with ``HOT`` or more
+   contexts (counted per portion) go one by one, by their own content, so that no anchor's contexts
    meet in one task.
 3. A shard brings its different contexts into suffix order by external induced sorting
    (``induced``); its text and queues are on the task's disk, so it may be far larger than memory.
@@ -39,7 +39,7 @@ from .hashing import mixed, powers
 from .induced import BASE, clusters
 from .portions import BUCKET, Row, answers, ask, by_key, counted, mapped, meet, packed, portions, rows_of, total, unpacked
 
-LENGTH, ANCHOR, RUN, HOT = 100, 32, 128, 64
+LENGTH, ANCHOR, RUN, HOT = 100, 32, 128, 8192
 #: Bytes of corpus text per shard, and bytes of queue that a task keeps in memory.
 SHARD, HELD = 16 << 20, 64 << 20
 
