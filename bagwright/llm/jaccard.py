@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 from .hashing import mixed, powers
-from .portions import BUCKET, SCHEMA, Row, answers, ask, batches_of, by_key, counted, mapped, meet, packed, portions, rows_of, total, unpacked
+from .portions import BUCKET, SCHEMA, Row, answers, ask, batches_of, by_key, counted, give_back, mapped, meet, packed, portions, restored, rows_of, total, unpacked
 
 WIDTH, PERCENT, MEMBERS, TOKENS, PARTNERS = 5, 75, 64, 64_000, 32
 
@@ -429,7 +429,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those linked, directly or not, with one of smaller doc_id; all columns stay."""
-    all_, found = classes(docs, tuple(docs.columns))
+    names = docs.columns
+    all_, found = classes(docs, tuple(names))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "portion", "place")
     kept = found.filter("component IS NOT NULL").groupBy("component").agg(F.min(rank).alias("x")).select("x.portion", "x.place")
     kept = kept.union(found.filter("component IS NULL").select("portion", "place"))
@@ -441,6 +442,7 @@ def dedup(docs: DataFrame) -> DataFrame:
             own = list(own)
             if len(own) > 1:
                 rows = np.sort(np.concatenate([np.frombuffer(r[3], np.int32) for r in own[1:]]))
-                yield from pa.ipc.open_stream(unpacked(own[0][3])[4]).read_all().take(pa.array(rows)).to_batches()
+                yield from restored(unpacked(own[0][3]), names).take(pa.array(rows)).to_batches()
+        give_back()
 
     return meet(all_, places).mapInArrow(run, docs.schema)

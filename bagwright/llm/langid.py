@@ -26,6 +26,8 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .portions import give_back
+
 UNDETERMINED, SIZES, EVIDENCE, PORTION = "und", (2, 3), 64, 1 << 18
 
 
@@ -154,5 +156,6 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
             named, scores = score(b[text].to_pylist(), shared.value)
             kept = [n for n in b.schema.names if n not in (lang, value)]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in kept), pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        give_back()
 
     return df.mapInArrow(run, schema)

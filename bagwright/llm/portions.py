@@ -11,6 +11,8 @@ All exchanges have the form (key, kind, part, blob); ``meet`` brings the rows of
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 import pickle
 from collections.abc import Callable, Iterator
@@ -34,6 +36,13 @@ _KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 Row = tuple[int, int, int, bytes]
 
 
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the system: it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(*values) -> bytes:
     return zstandard.compress(pickle.dumps(values, protocol=5), 3)
 
@@ -87,9 +96,16 @@ def portions(docs: DataFrame, most: int = PORTION, keep: tuple[str, ...] = ()) -
                 yield (0, 0, min(size, (1 << 31) - 1), pack_portion(held, keep))
 
         yield from batches_of(rows())
+        give_back()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, SCHEMA)
-    return saved(rows.withColumn("key", F.monotonically_increasing_id()), "portions")
+    spark, size = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *(c for c in keep if c != "text")).mapInArrow(run, SCHEMA)
+    before = spark.conf.get(size)
+    spark.conf.set(size, "500")  # whole texts: a batch of the usual size would be large
+    try:
+        return saved(rows.withColumn("key", F.monotonically_increasing_id()), "portions")
+    finally:
+        spark.conf.set(size, before)
 
 
 def pack_portion(held: list[pa.RecordBatch], keep: tuple[str, ...]) -> bytes:
@@ -99,12 +115,27 @@ def pack_portion(held: list[pa.RecordBatch], keep: tuple[str, ...]) -> bytes:
     data = [(x.as_py() or "").encode() for x in table["_text"]]
     sink = pa.BufferOutputStream()
     if keep:
-        with pa.ipc.new_stream(sink, table.select(keep).schema) as out:
-            out.write_table(table.select(keep))
+        # The text is in the portion already; only where it is null must be known.
+        table = table.append_column("_null", pc.is_null(table["_text"])).drop_columns(["_id", "_text"])
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
     sizes = np.array([len(x) for x in data], np.int64)
     return packed(pc.fill_null(ids, 0).to_numpy(), pc.is_null(ids).to_numpy(), sizes, b"".join(data), sink.getvalue().to_pybytes())
 
 
+def restored(portion: tuple, names: list[str], gone: np.ndarray | None = None) -> pa.Table:
+    """The rows of a portion with the columns ``names``; bytes marked ``gone`` are left out of the text."""
+    _, _, sizes, text, stream = portion
+    table, texts, at = pa.ipc.open_stream(stream).read_all(), [], 0
+    for null, size in zip(table["_null"].to_pylist(), sizes.tolist()):
+        part = text[at : at + size]
+        if gone is not None and (g := gone[at : at + size]).any():
+            part = np.frombuffer(part, np.uint8)[~g].tobytes()
+        texts.append(None if null else part.decode("utf-8", "ignore"))
+        at += size
+    return table.append_column("text", pa.array(texts, pa.string())).select(names)
+
+
 def total(portions_: DataFrame) -> int:
     """Bytes of text in all portions (a sum over one small column)."""
     return int(portions_.agg(F.sum(F.col("part").cast("long"))).first()[0] or 0)
@@ -115,6 +146,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[Row]], Iterator[Row]]) -> Data
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from batches_of(run(rows_of(batches)))
+        give_back()
 
     return df.mapInArrow(go, SCHEMA)
 

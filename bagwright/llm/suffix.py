@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 
 from .hashing import mixed, powers
 from .induced import BASE, clusters
-from .portions import BUCKET, Row, answers, ask, by_key, counted, mapped, meet, packed, portions, rows_of, total, unpacked
+from .portions import BUCKET, Row, answers, ask, by_key, counted, give_back, mapped, meet, packed, portions, restored, rows_of, total, unpacked
 
 LENGTH, ANCHOR, RUN, HOT = 100, 32, 128, 8192
 #: Bytes of corpus text per shard, and bytes of queue that a task keeps in memory.
@@ -344,16 +344,8 @@ def dedup(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in by_key(rows_of(batches)):
             own = list(own)
-            _, _, sizes, text, stream = unpacked(own[0][3])
-            gone = _gone(text, own[1:])
-            table = pa.ipc.open_stream(stream).read_all()
-            if gone is not None:
-                old, made, at = table["text"].to_pylist(), [], 0
-                for x, size in zip(old, sizes.tolist()):
-                    g = gone[at : at + size]
-                    made.append(np.frombuffer(text, np.uint8, size, at)[~g].tobytes().decode("utf-8", "ignore") if g.any() else x)
-                    at += size
-                table = table.set_column(names.index("text"), "text", pa.array(made, pa.string()))
-            yield from table.to_batches()
+            portion = unpacked(own[0][3])
+            yield from restored(portion, names, _gone(portion[3], own[1:])).to_batches()
+        give_back()
 
     return meet(*marked(docs, base, held, tuple(names))).mapInArrow(run, docs.schema)
