@@ -31,7 +31,7 @@ import pyspark.sql.types as T
 import regex
 from pyspark.sql import DataFrame
 
-STATES, PIECES = 100_000, 400_000
+STATES, PIECES = 300_000, 400_000
 #: Below this code point, letters, numbers and white space are listed for the faster engine.
 LISTED = 0x250
 
@@ -53,6 +53,16 @@ def merged(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]
     return parts
 
 
+class _Node(dict):
+    """A node of the trie: children by byte, and the token that ends here. Nodes are told apart by identity."""
+
+    __slots__ = ("token",)
+    __hash__, __eq__ = object.__hash__, object.__eq__
+
+    def __init__(self):
+        self.token = None
+
+
 class _State:
     """walks: (trie node, token before, tokens not yet emitted) per open start, the earliest first."""
 
@@ -96,13 +106,15 @@ class Transducer:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"the vocabulary lacks {len(missing)} single bytes")
         self.ranks, self.parts = ranks, parts or spines(ranks)
-        self.root: dict = {}
+        self.root = _Node()
         for token, rank in ranks.items():
             if rank in self.parts:
                 node = self.root
                 for byte in token:
-                    node = node.setdefault(byte, {})
-                node[-1] = rank
+                    if (below := node.get(byte)) is None:
+                        below = node[byte] = _Node()
+                    node = below
+                node.token = rank
         self.fits: dict[tuple[int, int], bool] = {}
         self.reset()
 
@@ -112,11 +124,7 @@ class Transducer:
             state.moves.clear()
         first = ((self.root, -1, ()),)
         self.start = _State(first)
-        self.known: dict = {self._key(first): self.start}
-
-    @staticmethod
-    def _key(walks) -> tuple:
-        return tuple((id(n), b, p) for n, b, p in walks)
+        self.known: dict = {first: self.start}
 
     def _fit(self, a: int, b: int) -> bool:
         """Whether merging leaves the border between tokens a and b alone.
@@ -153,21 +161,25 @@ class Transducer:
         walks, found = [], None
         for node, before, pending in state.walks:
             if (node := node.get(byte)) is not None:
-                walks.append((node, before, pending))
-                if found is None and (token := node.get(-1)) is not None and self._fit(before, token):
+                if node:  # at a leaf the walk ends
+                    walks.append((node, before, pending))
+                if found is None and (token := node.token) is not None and self._fit(before, token):
                     found = (self.root, token, (*pending, token))
-        walks.append(found)
-        shortest = min(len(p) for _, _, p in walks)
-        n = 0
-        while n < shortest and len({p[n] for _, _, p in walks}) == 1:
-            n += 1
-        out = walks[0][2][:n]
-        walks = tuple((node, before, pending[n:]) for node, before, pending in walks)
-        if len(self.known) > STATES:
-            self.reset()
-        key = self._key(walks)
-        if (made := self.known.get(key)) is None:
-            made = self.known[key] = _State(walks)
+        if walks:
+            walks.append(found)
+            n, shortest = 0, min([len(p) for _, _, p in walks])
+            while n < shortest and len({p[n] for _, _, p in walks}) == 1:
+                n += 1
+            out = found[2][:n]
+            if n:
+                walks = [(node, before, pending[n:]) for node, before, pending in walks]
+            walks = tuple(walks)
+        else:
+            out, walks = found[2], ((self.root, found[1], ()),)
+        if (made := self.known.get(walks)) is None:
+            if len(self.known) > STATES:
+                self.reset()
+            made = self.known[walks] = _State(walks)
         state.moves[byte] = made, out
         return made, out
 
@@ -327,12 +339,12 @@ def round_trip(df: DataFrame, path: str, pattern: str, portion: int = 4096) -> D
         machine, decimal = Utf8Machine(tokens), [str(i) for i in range(len(tokens))]
         for b in batches:
             n, digest, back = [], [], []
-            for x in b["text"]:
-                with _uncollected():
+            with _uncollected():
+                for x in b["text"]:
                     ids = encoder.encode(x.as_py() or "")
-                n.append(len(ids))
-                digest.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
-                back.append(hashlib.sha256(_decoded(machine, ids, portion).encode()).hexdigest())
+                    n.append(len(ids))
+                    digest.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids.tolist())).encode()).hexdigest())
+                    back.append(hashlib.sha256(_decoded(machine, ids, portion).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
