@@ -29,5 +29,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._saved_path = path
+    return made
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, once all that reads them has been written itself."""
+    for df in made:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._saved_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -34,7 +34,7 @@ import pyspark.sql.types as T
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 from .hashing import mixed, powers
 from .portions import BUCKET, SCHEMA, Row, answers, ask, batches_of, by_key, counted, give_back, mapped, meet, packed, portions, restored, rows_of, total, unpacked
 
@@ -334,7 +334,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").filter("v != low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", "low")).distinct()
         new = saved(small, "edges")
         if new.count() == edges.count() and new.exceptAll(edges).isEmpty():
+            discard(edges)
             return new.select(F.col("u").alias("node"), F.col("v").alias("label")).union(new.select("v", "v").distinct())
+        discard(edges)
         edges = new
 
 
@@ -386,17 +388,19 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
     all_ = portions(docs, keep=keep)
     buckets = max(1, -(-total(all_) // BUCKET))
     asked = saved(mapped(all_, _sets(buckets)), "sets")
-    documents = asked.filter("kind = 1").mapInArrow(_rows(s := "portion long, place int, doc_id long, n_shingles long, digest binary", _documents), s)
+    documents = saved(asked.filter("kind = 1").mapInArrow(_rows(s := "portion long, place int, doc_id long, n_shingles long, digest binary", _documents), s), "documents")
     first = documents.filter("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("portion", "place")).alias("at"))
     place = _le32(F.col("at.place"))
     firsts = first.groupBy(F.col("at.portion").alias("key")).agg(F.array_join(F.collect_list(F.hex(place)), "").alias("x"))
     firsts = firsts.select("key", F.lit(2).alias("kind"), F.lit(0).alias("part"), F.unhex("x").alias("blob"))
     sets = saved(meet(all_, counted(asked.filter("kind = 0")), firsts).mapInArrow(_survivors(buckets), _SURVIVORS), "survivors")
+    discard(asked)
     # A token that very many sets have in common is split, so that no task gets them all.
     much = sets.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / (MEMBERS * 4)).alias("split"))
     dealt = sets.join(much, "near").select("digest", "tokens", F.col("near").alias("a"), F.pmod(F.xxhash64("digest"), "split").alias("b"))
     ordered = dealt.repartition("a", "b").sortWithinPartitions("a", "b", "digest").select("digest", "tokens")
     groups = saved(ordered.mapInArrow(_groups, SCHEMA).withColumn("key", F.monotonically_increasing_id()), "groups")
+    discard(sets)
     tokens = max(1, -(-total(groups) // (BUCKET // 8)))
     counts = counted(mapped(groups.withColumn("part", F.lit(0)), _matrix(tokens)))
     posts = saved(mapped(meet(groups.withColumn("part", F.lit(0)), counts), _postings(tokens)), "postings")
@@ -410,9 +414,11 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
     told = told.select("key", F.lit(1).alias("kind"), F.lit(0).alias("part"), F.unhex("x").alias("blob"))
     again = mapped(meet(mapped(posts, _by_group), told), _labelled)
     more = saved(meet(again).mapInArrow(_meetings(False), _PAIRS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(posts, pairs)
     if not more.isEmpty():
         labels = components(edges.union(compare(groups, more)))
-    labels = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component"))
+    labels = saved(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component")), "labels")
+    discard(groups, edges, more)
     return all_, documents.join(labels, "digest", "left").select("portion", "place", "doc_id", "n_shingles", F.coalesce("component", "digest").alias("component"))
 
 
