@@ -14,7 +14,8 @@ A document's set holds its distinct shingles of ``WIDTH`` words; two documents l
    all its overlaps there, and only groups with qualifying members are opened. The first round compares each
    group that posted a token with the token's first group alone, so a family of any size is
    linked by a number of comparisons in proportion to its groups. After components are found, a second
-   round compares all groups that still meet in different components and haven't been compared.
+   round compares all groups that still meet in different components and haven't been compared. Postings of
+   a token are sorted by component and dealt in blocks; pairs within a component are never formed.
 
 Components are found by alternating star contraction; only links between local components travel.
 
@@ -38,7 +39,7 @@ from .common import discard, saved
 from .hashing import mixed, powers
 from .portions import BUCKET, SCHEMA, Row, answers, ask, batches_of, by_key, counted, give_back, mapped, meet, packed, portions, restored, rows_of, total, unpacked
 
-WIDTH, PERCENT, MEMBERS, TOKENS, PARTNERS = 5, 75, 64, 64_000, 32
+WIDTH, PERCENT, MEMBERS, TOKENS, PARTNERS, BLOCK = 5, 75, 64, 64_000, 32, 512
 
 _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FACTORS = np.random.default_rng(21).integers(1, 1 << 63, WIDTH + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -227,39 +228,116 @@ def _postings(buckets: int):
 _PAIRS = "a long, b long"
 
 
-def _meetings(first_only: bool):
-    """Pairs of groups that meet at a token, b the smaller: each with the first, or all of different labels."""
+def _together(own: Iterator[Row]) -> list[np.ndarray]:
+    """Tokens, groups and third columns of all postings of a bucket."""
+    token, group, other = [], [], []
+    for r in own:
+        g, tokens, values = unpacked(r[3])
+        token.append(tokens)
+        group.append(np.full(len(tokens), g, np.int64))
+        other.append(values)
+    return [np.concatenate(x) for x in (token, group, other)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in by_key(rows_of(batches)):
-            token, group, label = [], [], []
-            for r in own:
-                g, tokens, labels = unpacked(r[3])
-                token.append(tokens)
-                group.append(np.full(len(tokens), g, np.int64))
-                label.append(labels)
-            token, group, label = np.concatenate(token), np.concatenate(group), np.concatenate(label)
-            order = np.lexsort((label, group, token))
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each group that posted a token with the token's first group, b."""
+    for _, own in by_key(rows_of(batches)):
+        token, group, _ = _together(own)
+        order = np.lexsort((group, token))
+        token, group = token[order], group[order]
+        cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        first = group[np.repeat(cuts, np.diff(np.append(cuts, len(token))))]
+        pairs = np.unique(np.stack((group, first))[:, group != first], axis=1)
+        if pairs.shape[1]:
+            yield _pairs(*pairs)
+
+
+def _blocks(most: int):
+    """Blocks of at most ``most`` postings, sorted by token and label, of the tokens that have several labels.
+
+    A run is what has one token and label; a block holds for each posting its token's first run, its own run and
+    its group. Rows by number of the block: kind 0, the block, for the pairs inside; kind 1, the block, if an
+    earlier one shares a token with it; kind 2, a block that shares its last token, under another label, with
+    the ``part`` blocks from that number on. Blocks without different labels never come together.
+    """
+
+    def run(rows: Iterator[Row]) -> Iterator[Row]:
+        for bucket, own in by_key(rows):
+            token, group, label = _together(own)
+            order = np.lexsort((group, label, token))
             token, group, label = token[order], group[order], label[order]
-            cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            if first_only:
-                first = group[np.repeat(cuts, np.diff(np.append(cuts, len(token))))]
-                pairs = np.unique(np.stack((group, first))[:, group != first], axis=1)
-            else:
-                found: set = set()
-                for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(token)).tolist()):
-                    if hi - lo < 2 or len(np.unique(label[lo:hi])) < 2:
-                        continue
-                    i, j = np.triu_indices(hi - lo, 1)
-                    off = (label[lo:hi][i] != label[lo:hi][j]) & (group[lo:hi][i] != group[lo:hi][j])
-                    found.update(zip(group[lo:hi][j[off]].tolist(), group[lo:hi][i[off]].tolist()))
-                pairs = np.array(sorted(found), np.int64).reshape(-1, 2).T
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            new = np.append(True, token[1:] != token[:-1])
+            cuts = np.flatnonzero(new)
+            ends = np.append(cuts[1:], len(token))
+            mixed_ = np.repeat(label[cuts] != label[ends - 1], ends - cuts)
+            token, group, label, new = token[mixed_], group[mixed_], label[mixed_], new[mixed_]
+            if not len(token):
+                continue
+            runs = np.cumsum(np.append(True, (token[1:] != token[:-1]) | (label[1:] != label[:-1])))
+            cuts = np.flatnonzero(new)
+            starts = np.repeat(runs[cuts], np.diff(np.append(cuts, len(token))))
+            wanted: set[int] = set()
+            for k, lo in enumerate(range(0, len(token), most)):
+                hi, id_ = min(lo + most, len(token)), (bucket << 32) + k
+                blob = packed(starts[lo:hi], runs[lo:hi], group[lo:hi])
+                # Postings of the last token under labels after the block's first one for it.
+                begin = max(hi, int(np.searchsorted(runs, max(runs[lo], starts[hi - 1]), "right")))
+                end = int(np.searchsorted(starts, starts[hi - 1], "right"))
+                if runs[lo] < runs[hi - 1]:
+                    yield (id_, 0, 0, blob)
+                if k in wanted:
+                    yield (id_, 1, 0, blob)
+                if begin < end:
+                    wanted.update(range(begin // most, (end - 1) // most + 1))
+                    yield ((bucket << 32) + begin // most, 2, (end - 1) // most + 1 - begin // most, blob)
+                wanted.discard(k)
 
     return run
 
 
+def crossing(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of groups, the larger first, that post a token under different labels, in block ``a`` under the lesser."""
+    starts, runs, group = b
+    lo, hi = np.searchsorted(a[1], starts), np.searchsorted(a[1], runs)
+    n = hi - lo
+    x, y = a[2][np.arange(n.sum()) - np.repeat(n.cumsum() - n - lo, n)], np.repeat(group, n)
+    found = np.unique(np.stack((np.maximum(x, y), np.minimum(x, y)))[:, x != y], axis=1)
+    return found[0], found[1]
+
+
+def _crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups from blocks that came together."""
+    for _, own in by_key(rows_of(batches)):
+        later = None
+        for _, kind, _, blob in own:
+            block = unpacked(blob)
+            if kind == 1:
+                later = block
+            else:
+                yield _pairs(*crossing(block, block if kind == 0 else later))
+
+
+def mixing(postings: DataFrame, most: int) -> DataFrame:
+    """Distinct pairs (a, b), a the larger, of groups that post a token under different labels, from rows (bucket, 0, 0, (group, tokens, labels))."""
+    blocks = saved(mapped(meet(postings), _blocks(most)), "blocks")
+    goes = blocks.filter("kind = 2").select(F.explode(F.sequence("key", F.col("key") + F.col("part") - 1)).alias("key"), "kind", "part", "blob")
+    made = saved(meet(blocks.filter("kind < 2"), goes).mapInArrow(_crossings, _PAIRS).distinct(), "crossings")
+    discard(blocks)
+    return made
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with the group of more partners as b: that one is sent once for PARTNERS of the others."""
+    many = pairs.select("a").union(pairs.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    rows = pairs.join(many.withColumnRenamed("n", "m"), "a").join(many.withColumnRenamed("a", "b"), "b")
+    swap = F.col("m") > F.col("n")
+    return rows.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 _EDGES = "u binary, v binary"
 
 
@@ -405,7 +483,7 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
     counts = counted(mapped(groups.withColumn("part", F.lit(0)), _matrix(tokens)))
     posts = saved(mapped(meet(groups.withColumn("part", F.lit(0)), counts), _postings(tokens)), "postings")
     nodes = groups.mapInArrow(_rows(s := "group long, part int, digest binary, node binary", _nodes), s)
-    pairs = saved(meet(posts).mapInArrow(_meetings(True), _PAIRS).distinct(), "pairs")
+    pairs = saved(meet(posts).mapInArrow(_meetings, _PAIRS).distinct(), "pairs")
     edges = saved(compare(groups, pairs), "links")
     labels = components(edges)
     # Second round: what still meets in different components and hasn't been compared.
@@ -413,8 +491,9 @@ def classes(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Dat
     told = known.groupBy(F.col("group").alias("key")).agg(F.array_join(F.collect_list(F.hex(_swapped(F.col("part").cast("long"), "label"))), "").alias("x"))
     told = told.select("key", F.lit(1).alias("kind"), F.lit(0).alias("part"), F.unhex("x").alias("blob"))
     again = mapped(meet(mapped(posts, _by_group), told), _labelled)
-    more = saved(meet(again).mapInArrow(_meetings(False), _PAIRS).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    discard(posts, pairs)
+    crossings = mixing(again, BLOCK)
+    more = saved(oriented(crossings.join(pairs, ["a", "b"], "left_anti")), "pairs")
+    discard(posts, pairs, crossings)
     if not more.isEmpty():
         labels = components(edges.union(compare(groups, more)))
     labels = saved(nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component")), "labels")

@@ -199,6 +199,61 @@ def test_jaccard(docs, empty, members, monkeypatch):
         assert jaccard.join(empty).count() == 0 and jaccard.dedup(empty).count() == 0
 
 
+def postings(rows):
+    """Rows of a bucket from (group, tokens, labels)."""
+    return [(0, 0, 0, jaccard.packed(g, np.array(t, np.uint64), np.array(x, np.int64))) for g, t, x in rows]
+
+
+@pytest.mark.parametrize("most", [1, 3, 512])
+def test_jaccard_meets_across_components_only(spark, most):
+    rng = random.Random(most)
+    rows = [(g, *zip(*{(rng.choice((5, 6, 6, 6, 9)), rng.randint(0, 2)) for _ in range(2)})) for g in range(30)]
+    want = {(max(a, b), min(a, b)) for a, t, x in rows for b, u, y in rows if a != b and any(i == j and k != l for i, k in zip(t, x) for j, l in zip(u, y))}
+    made = jaccard.mixing(spark.createDataFrame(postings(rows), jaccard.SCHEMA), most)
+    assert sorted((r.a, r.b) for r in made.collect()) == sorted(want)
+
+
+def test_jaccard_large_family_and_one_outsider():
+    n = 60_000  # all pairs of its groups would be 1.8e9
+    rows = postings([(g, [7], [int(g == 1234)]) for g in range(n)])
+    blocks = [(key, kind, part, jaccard.unpacked(blob)) for key, kind, part, blob in jaccard._blocks(512)(iter(rows))]
+    later = {key: b for key, kind, _, b in blocks if kind == 1}
+    together = [(b, b) for _, kind, _, b in blocks if kind == 0] + [(b, later[key + k]) for key, kind, part, b in blocks if kind == 2 for k in range(part)]
+    formed, pairs = 0, set()
+    for a, b in together:
+        x, y = jaccard.crossing(a, b)
+        formed += len(x)
+        pairs.update(zip(x.tolist(), y.tolist()))
+    assert formed == n - 1 and pairs == {(max(g, 1234), min(g, 1234)) for g in range(n) if g != 1234}
+    assert len(together) <= n // 512 + 1
+
+
+def test_jaccard_family_with_outsider(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    monkeypatch.setattr(jaccard, "MEMBERS", 2)
+    rng = random.Random(8)
+    base = prose(rng, 160).split()
+    texts = []
+    for k in range(300):
+        words = base[:]
+        words[rng.randrange(160)] = f"own{k}"
+        texts.append(" ".join(words))
+    # Under the limit, and a chain that starts there.
+    words = base[:130] + prose(rng, 40).split()
+    texts += [" ".join(words), " ".join(words[:-3]), " ".join(prose(rng, 3).split() + words)]
+    rows = list(enumerate(texts))
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n) and label[a] != label[b]:
+                label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert 1 < len(set(label)) < 4
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 201 + i) for i in range(20)]
