@@ -9,7 +9,7 @@ badly filled bins are opened and their pieces of all shards go through the same
 are left. Shards are of bounded size at any scale, and nothing is collected.
 
 Defined results: null text is empty and is one piece of one token (the end mark); repeated rows are
-packed each for itself; other columns are ignored; an empty table gives no rows; texts of any length
+packed each for itself; control strings of the tokenizer in a text are single tokens, exactly as spelled; other columns are ignored; an empty table gives no rows; texts of any length
 are cut into pieces of ``CAPACITY`` tokens, of which only the last may be shorter.
 """
 
@@ -37,6 +37,8 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that lower-cases and never joins across white space; words are cached.
 
     The cache is columnar: an Arrow array of words, and the ids of all of them one after the other.
+    Control strings that the tokenizer declares get their own ids, as in the library: as they are spelled, before
+    lower-casing. Words that hold one are encoded each for itself.
     """
 
     def __init__(self, definition: str):
@@ -44,7 +46,8 @@ class WordTokenizer:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks are parallel already
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a lower-cased word may look like a control string
+        self.controls = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         [self.mark] = self._plain([MARK])
         self.forget()
 
@@ -62,6 +65,21 @@ class WordTokenizer:
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _holds(self, texts: pa.Array) -> np.ndarray:
+        """Which of ``texts`` hold a control string."""
+        found = np.zeros(len(texts), bool)
+        for x in self.controls:
+            found |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        return found
+
+    def _controlled(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of ``words`` with control strings."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._plain(words)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def learn(self, words: pa.Array) -> None:
         """Put ids of ``words`` (distinct, unknown, no ASCII white space inside) into the cache, many in one call."""
         marked = pc.match_substring(words, MARK) if len(self.mark) == 1 else pa.array(np.ones(len(words), bool))
@@ -93,12 +111,18 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` one after the other, and the borders between the texts."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        texts = pc.fill_null(texts, "")
+        special = self._holds(texts).any()
+        split = pc.ascii_split_whitespace(texts if special else pc.ascii_lower(texts))
         if isinstance(split, pa.ChunkedArray):
             split = split.combine_chunks()
         coded = split.flatten().dictionary_encode()
         # A single comma or full stop after a letter or digit is a word of its own.
         words = coded.dictionary
+        if special:
+            held = np.flatnonzero(self._holds(words))
+            own = self._controlled(words.take(pa.array(held)).to_pylist())
+            words = pc.ascii_lower(words)
         ends = pc.match_substring_regex(words, "[a-z0-9][,.]$")
         stems = pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words)
         tails = pc.if_else(ends, pc.utf8_slice_codeunits(words, -1), "")
@@ -107,6 +131,11 @@ class WordTokenizer:
         # The ids of each word of the dictionary, one after the other; then those of each word of the texts.
         flat = self.ids[_ranges(self.ends[found].reshape(2, -1).T.ravel(), size.reshape(2, -1).T.ravel())]
         size = size.reshape(2, -1).sum(axis=0)
+        if special:
+            parts = np.split(flat, size.cumsum()[:-1])
+            for k, x in zip(held.tolist(), own):
+                parts[k] = x
+            flat, size = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         sizes = size[index]
         ids = flat[_ranges((size.cumsum() - size)[index], sizes)]
         borders = split.offsets.to_numpy() - split.offsets[0].as_py()

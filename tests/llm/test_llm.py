@@ -349,6 +349,20 @@ def test_packing(docs, empty):
     assert packing.pack(packing.tokenized(empty, path)).count() == 0
 
 
+def test_packing_control_strings(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["x<|endoftext|>y.", "A <|EndOfText|> b <|endoftext|>", "<|startoftext|><|endoftext|>,", "<|endoftext|>. It's", "don<|endoftext|>'t  a.<|endoftext|>\n", None, "no such text, <|ENDOFTEXT|>."]
+    rows = list(enumerate(texts))
+    for some in (rows, rows[-2:]):
+        got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.tokenized(spark.createDataFrame(some, "doc_id long, text string").coalesce(1), path).collect()}
+        for i, text in some:
+            ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+            assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_pipeline(spark, docs, empty):
     import corpus_pipeline as c
 
