@@ -263,6 +263,29 @@ def _halves(get):
     return t, t.split(lambda k: k.l_orderkey < 30000)
 
 
+def _sides(get):
+    """Even and odd order keys: both hold rows at any scale."""
+    odd, even = folds(_halves(get)[0], 2, lambda k: k.l_orderkey)[0]
+    return even, odd
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem WHERE l_orderkey % 2 = 0")
+def split_even(get):
+    return _sides(get)[0]
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem WHERE l_orderkey % 2 <> 0")
+def split_odd(get):
+    return _sides(get)[1]
+
+
+@query("SELECT l_orderkey, l_returnflag, l_quantity, CASE WHEN l_orderkey % 2 = 0 THEN CASE WHEN l_orderkey % 3 = 0 THEN 'a' ELSE 'b' END ELSE CASE WHEN l_orderkey % 3 = 0 THEN 'c' ELSE 'd' END END AS bucket FROM lineitem")
+def nested_split_remainder(get):
+    parts = [side for t in _sides(get) for side in reversed(folds(t, 3, lambda k: k.l_orderkey)[0])]
+    named = [t.mutate(bucket=lambda k, r, n=n: lift(n)) for t, n in zip(parts, "abcd")]
+    return named[0].bind(named[1]).bind(named[2].bind(named[3]))
+
+
 @query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem WHERE l_orderkey < 30000")
 def split_first(get):
     return _halves(get)[1][0]
@@ -275,14 +298,15 @@ def split_second(get):
 
 @query("SELECT l_orderkey, l_returnflag, l_quantity FROM lineitem")
 def split_bind_identity(get):
-    a, b = _halves(get)[1]
+    # Selected apart: bind() gives back the parent of sides that are as split() left them.
+    a, b = (t.select("l_returnflag", "l_quantity") for t in _sides(get))
     return a.bind(b)
 
 
 @query("SELECT l_orderkey, l_returnflag, round(sum(l_quantity), 4) AS q FROM lineitem GROUP BY 1, 2")
 def split_safe_pipeline(get):
     f = lambda t: t.extend_key("l_returnflag").group_map(lambda k, g: row(q=sum_(g.l_quantity)))
-    a, b = _halves(get)[1]
+    a, b = _sides(get)
     return rounded(f(a).bind(f(b)), "q")
 
 

@@ -38,6 +38,16 @@ def test_query(spark, duck, name):
     assert plain([tuple(r) for r in df.collect()], [df.columns.index(c) for c in sorted(df.columns)]) == want
 
 
+def test_splits_have_rows_on_both_sides(spark):
+    made = {n: catalogue.QUERIES[n](spark, DIR) for n in ("split_even", "split_odd", "nested_split_remainder", "split_bind_identity", "split_safe_pipeline")}
+    assert made["split_even"].count() and made["split_odd"].count()
+    assert {r.bucket for r in made["nested_split_remainder"].select("bucket").distinct().collect()} == set("abcd")
+    for n in ("split_bind_identity", "split_safe_pipeline"):
+        assert "Union" in made[n]._jdf.queryExecution().analyzed().toString()
+        # Halves of the union, each with rows: two filters by a remainder.
+        assert made[n]._jdf.queryExecution().analyzed().toString().count("pmod(l_orderkey") >= 2
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
