@@ -283,6 +283,32 @@ def test_quality(docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_verdict(spark):
+    rng, rows = random.Random(6), []
+    for i in range(60):
+        host, lines_ = (None, "a", "b")[i % 3], [prose(rng, 12), prose(rng, 12)]
+        for line, odds in (("Read  more HERE today", 0.3), (f"all of {host} is one line", 0.9), ("sold everywhere but here seldom", 0.12), ("word " * 12 + str(host), 0.5)):
+            if rng.random() < odds:
+                lines_ += [line, " " + line.upper()]  # twice in one document, and normalised
+        rows.append((i, "\n".join(lines_), host))
+    rows += [(60, None, "a"), (60, prose(rng, 30), None)]
+    share, least, depleted = 0.2, 3, 0.4
+    size = Counter(h for _, _, h in rows)
+    spread = Counter((h, x) for _, t, h in rows for x in {" ".join(x.lower().split()) for x in (t or "").split("\n")} - {""})
+    common = {k for k, n in spread.items() if n > least and n > share * size[k[0]]}
+    want = []
+    for i, t, h in rows:
+        gone = sum(len(x.split()) for x in (t or "").split("\n") if (h, " ".join(x.lower().split())) in common)
+        want.append((i, gone, gone <= depleted * len((t or "").split())))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = quality.quality(df, share=share, least=least, depleted=depleted).collect()
+    assert sorted((r.doc_id, r.removed_words) for r in got) == sorted(w[:2] for w in want)
+    verdict = {(i, n): ok for i, n, ok in want}
+    assert all(r.kept == (verdict[r.doc_id, r.removed_words] and not r.base_failed) for r in got)
+    assert any(not r.kept and not r.base_failed for r in got)
+    assert any(g and k for _, g, k in want) and any(not k for *_, k in want) and {h for h, _ in common} == {None, "a", "b"}
+
+
 def test_html():
     model = extraction.trained()
     held = extraction.labelled_pages(150, seed=99)
