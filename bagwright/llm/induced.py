@@ -9,7 +9,7 @@ from the recursion: names of the pieces between them make a shorter string, whos
 in order in the same way, until the seeds are few enough to be sorted at once. The order of all
 other suffixes is then induced in two scans. Both use a priority queue of (place, common prefix)
 tuples by first character; tuples of one character leave in the order in which they came, and all
-that exceeds ``held`` bytes waits in files. A common prefix is one more than the least among the
+that exceeds ``held`` bytes waits in files. Seeds, and flags and copies of the text, are in memory. A common prefix is one more than the least among the
 tuples between the two that induced its neighbours, so it travels through the induction with them.
 Only places up to the first seed after the last chosen place of a string are ever induced.
 """

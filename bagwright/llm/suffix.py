@@ -9,8 +9,9 @@
    the earliest stays, which needs no order of suffixes). Windows of an anchor with ``HOT`` or more
    contexts (counted per portion) go one by one, by their own content, so that no anchor's contexts
    meet in one task.
-3. A shard brings its different contexts into suffix order by external induced sorting
-   (``induced``); its text and queues are on the task's disk, so it may be far larger than memory.
+3. A shard brings its different contexts into suffix order by induced sorting (``induced``); its text and the
+   queues beyond ``HELD`` are on the task's disk, but seeds and flags of the text are in memory: a shard must fit
+   in a task's memory, which ``SHARD`` sees to.
    Windows that have ``LENGTH`` bytes in common are neighbours then; all but the earliest go.
    A context that is equal to an earlier one goes whole.
 4. What goes returns to its portion and is taken out of the texts.
