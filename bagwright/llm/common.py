@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that ``saved`` wrote and ``discard`` hasn't deleted, the oldest first.
+_MADE: list[DataFrame] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of a data directory, through Spark's own reader (any file system)."""
@@ -17,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, a laptop)
-    a folder under /tmp is used, which is right for one machine alone.
+    The cluster names it in spark.checkpoint.dir. Only in local mode (tests, a laptop), where
+    driver and executors are one process, may that be unset; a folder under /tmp is used then.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or "/tmp/bagwright-shared").rstrip("/")
 
 
@@ -31,6 +39,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._saved_path = path
+    _MADE.append(made)
     return made
 
 
@@ -40,4 +49,38 @@ def discard(*made: DataFrame) -> None:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df._saved_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _MADE[:] = [x for x in _MADE if x is not df]
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes, at the end, the tables that were saved inside, but for the one that was saved last.
+
+    For a block that ends with ``saved``: what its result was made from isn't read any more then.
+    """
+    before = set(map(id, _MADE))
+    yield
+    discard(*[x for x in _MADE[:-1] if id(x) not in before])
+
+
+@atexit.register
+def _clear() -> None:
+    """What an operator's lazy result reads can't go before that is used; it goes with the session."""
+    with contextlib.suppress(Exception):  # the session has ended already
+        discard(*_MADE[:])
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, changed so that no column of ``df`` has one of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
+def quoted(name: str):
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
