@@ -3,7 +3,7 @@
 ``fit`` counts n-grams of labelled texts per language in numpy within tasks, adds the counts up in
 Spark and returns log-probabilities: one row per bucket, one column per language, so its size is
 buckets x languages whatever the corpus. The texts it learns from are a sample of at most about
-``sample`` labelled rows (chosen by a hash of doc_id); this bound is a parameter.
+``sample`` labelled rows (chosen by a hash of doc_id and text); this bound is a parameter.
 ``predict`` broadcasts that matrix and scores batches of whole texts.
 
 Text is lower-cased; everything but letters counts as one space. The score is the probability of the
@@ -89,12 +89,20 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def sampled(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """About ``sample`` of the ``n`` rows of ``rows`` (all if they aren't more), chosen by a hash of doc_id and text.
+
+    The share is kept to 62 bits, so it never becomes nothing, however many rows there are.
+    """
+    if n <= sample:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62)) < F.lit((sample << 62) // n))
+
+
 def fit(labelled: DataFrame, sample: int = 40_000, buckets: int = 1 << 16, smooth: float = 0.5) -> Model:
     """A model from ``labelled`` (doc_id, text, lang)."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    n = labelled.count()
-    if n > sample:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / n * (1 << 20)))
+    labelled = sampled(labelled, labelled.count(), sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
