@@ -8,8 +8,9 @@ emitted, is one state of a deterministic machine. States and moves are made when
 kept; a token is emitted as soon as all walks agree on it, so lookahead is bounded by the longest
 token. A piece that is itself in the vocabulary is one token, as in the usual encoder.
 
-**Decoding.** ``Utf8Machine`` takes ids in any portions and gives out whole characters; bytes of an
-unfinished character wait for the next portion. An ill-formed byte gives U+FFFD.
+**Decoding.** ``Utf8Machine`` is a table of states and moves over bytes, fed one token at a time; it
+gives out whole characters, and what is open waits for the next token. Ill-formed bytes give U+FFFD,
+one for each longest part that could have begun a character.
 
 Defined results: null text is empty and gives no ids; equal rows give equal results; other columns
 are ignored; an empty table gives no rows. Texts of any length are cut into pieces by the pattern
@@ -225,43 +226,93 @@ class Encoder(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u4")
 
 
+# Fixed values of UTF-8: for each state the ranges of bytes that may come, and the state after them.
+# GROUND lies between characters; ONE, TWO and THREE wait for so many more bytes of any kind; after
+# E0, ED, F0 and F4 the next byte is limited further (no overlong forms, no surrogates, no code points above 10FFFF).
+GROUND, ONE, TWO, THREE, AFTER_E0, AFTER_ED, AFTER_F0, AFTER_F4 = range(8)
+UTF8_MOVES = {
+    GROUND: ((0x00, 0x7F, GROUND), (0xC2, 0xDF, ONE), (0xE0, 0xE0, AFTER_E0), (0xE1, 0xEC, TWO), (0xED, 0xED, AFTER_ED), (0xEE, 0xEF, TWO), (0xF0, 0xF0, AFTER_F0), (0xF1, 0xF3, THREE), (0xF4, 0xF4, AFTER_F4)),
+    ONE: ((0x80, 0xBF, GROUND),),
+    TWO: ((0x80, 0xBF, ONE),),
+    THREE: ((0x80, 0xBF, TWO),),
+    AFTER_E0: ((0xA0, 0xBF, ONE),),
+    AFTER_ED: ((0x80, 0x9F, ONE),),
+    AFTER_F0: ((0x90, 0xBF, TWO),),
+    AFTER_F4: ((0x80, 0x8F, TWO),),
+}
+#: Bits of a character's first byte that belong to its code point, by the state after that byte.
+UTF8_BITS = {GROUND: 0x7F, ONE: 0x1F, TWO: 0x0F, AFTER_E0: 0x0F, AFTER_ED: 0x0F, THREE: 0x07, AFTER_F0: 0x07, AFTER_F4: 0x07}
+_TABLE = [[-1] * 256 for _ in UTF8_MOVES]
+for _state, _ranges in UTF8_MOVES.items():
+    for _low, _high, _next in _ranges:
+        _TABLE[_state][_low : _high + 1] = [_next] * (_high + 1 - _low)
+
+
+class _Between(dict):
+    """Where the machine is after a token: the state and the bits of the open character; as a dict, moves by token."""
+
+    __slots__ = ("bits", "state")
+
+    def __init__(self, state: int, bits: int):
+        super().__init__()
+        self.state, self.bits = state, bits
+
+
 class Utf8Machine:
-    """Ids to text, in any portions."""
+    """Token ids to text, one token after the other.
+
+    Bytes go through ``UTF8_MOVES``. A byte that no move allows ends the open character as one U+FFFD and is taken
+    again from GROUND; where it is not allowed there either, it is a U+FFFD itself. What a token does
+    between two characters, or within an open one, is a move of its own, made when it is first needed and kept.
+    """
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens, self.pending = tokens, b""
-        self.closed = np.array([_closed(t) for t in tokens], dtype=bool)
-
-    @staticmethod
-    def need(byte: int) -> int:
-        """Continuation bytes after a first byte; -1 if it can't be first."""
-        return 0 if byte < 0x80 else -1 if byte < 0xC2 else 1 if byte < 0xE0 else 2 if byte < 0xF0 else 3 if byte < 0xF5 else -1
-
-    def _open(self, data: bytes) -> int:
-        """Bytes at the end of ``data`` that begin a character and may yet be finished."""
-        for back in range(1, min(3, len(data)) + 1):
-            if data[-back] & 0xC0 != 0x80:
-                return back if self.need(data[-back]) >= back else 0
-        return 0
-
-    def feed(self, ids: np.ndarray) -> str:
-        data = self.pending + b"".join(map(self.tokens.__getitem__, ids.tolist()))
-        # Only what follows the last token that is whole characters can be unfinished.
-        keep = 0 if len(ids) and self.closed[ids[-1]] else self._open(data)
-        self.pending = data[len(data) - keep :]
-        return data[: len(data) - keep].decode("utf-8", errors="replace")
+        self.tokens = tokens
+        self.forget()
+
+    def forget(self) -> None:
+        self.ground = self.at = _Between(GROUND, 0)
+        self.known = {(GROUND, 0): self.ground}
+        self.moves = 0
+
+    def _move(self, at: _Between, token: int) -> tuple[_Between, str]:
+        state, bits, out = at.state, at.bits, []
+        for byte in self.tokens[token]:
+            after = _TABLE[state][byte]
+            if after < 0 and state != GROUND:
+                out.append("\ufffd")
+                state = GROUND
+                after = _TABLE[state][byte]
+            if after < 0:
+                out.append("\ufffd")
+                continue
+            bits = byte & UTF8_BITS[after] if state == GROUND else bits << 6 | byte & 0x3F
+            if after == GROUND:
+                out.append(chr(bits))
+            state = after
+        if state == GROUND:
+            bits = 0
+        if self.moves > STATES:  # what is open stays open
+            self.forget()
+        if (to := self.known.get((state, bits))) is None:
+            to = self.known[state, bits] = _Between(state, bits)
+        at[token] = made = to, "".join(out)
+        self.moves += 1
+        return made
+
+    def feed(self, ids) -> str:
+        """The text of ``ids``, as far as its characters are complete."""
+        at, out = self.at, []
+        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
+            at, piece = at.get(i) or self._move(at, i)
+            out.append(piece)
+        self.at = at
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.pending = self.pending, b""
-        return rest.decode("utf-8", errors="replace")
-
-
-def _closed(token: bytes) -> bool:
-    try:
-        token.decode()
-    except UnicodeDecodeError:
-        return False
-    return True
+        """What is open at the end: one U+FFFD or nothing."""
+        at, self.at = self.at, self.ground
+        return "\ufffd" if at.state != GROUND else ""
 
 
 #: Compiled vocabularies of this Python worker, by their digest.
