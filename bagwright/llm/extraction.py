@@ -1,7 +1,7 @@
 """HTML extraction: a linear-chain conditional random field over the leaf blocks of a page.
 
 ``blocks`` reads a page into leaf blocks: texts between the borders of block-level elements, with
-their ancestors' tags and the words of their classes and ids. The field labels each block as main
+their ancestors' tags and the words of their classes and ids, in time in proportion to the page. The field labels each block as main
 text or not, from ancestors, text features and the neighbour's label; ``fit`` trains it by gradient
 steps on the likelihood of labelled pages, Viterbi decodes. ``labelled_pages`` makes such pages:
 layouts of all common kinds with texts of random words, each block with its label.
@@ -18,9 +18,10 @@ import html
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,51 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in ("script", "style",
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    holder: Element
     linked: int  # characters inside links
 
 
-@cache
+class Element:
+    """A block-level element: its parent, and the features that it has and none of its ancestors.
+
+    Elements share their ancestors, so a page takes memory in proportion to its size, however deep it is.
+    """
+
+    __slots__ = ("depth", "own", "parent", "place", "sum", "tag")
+
+    def __init__(self, tag: str, parent: Element | None, own: tuple[int, ...]):
+        self.tag, self.parent, self.own, self.sum = tag, parent, own, None
+        self.depth = parent.depth + 1 if parent else 0
+        # What only the innermost elements say.
+        within = (f"in {tag}",) if tag else ()
+        within += (f"in {parent.tag} {tag}",) if parent and parent.tag else ()
+        self.place = tuple(map(_bucket, (*within, f"depth {min(self.depth, 8)}")))
+
+    def features(self) -> tuple[int, ...]:
+        found, at = list(self.place), self
+        while at:
+            found += at.own
+            at = at.parent
+        return tuple(found)
+
+    def evidence(self, weight: list[float]) -> float:
+        """The weights of all ``features``; sums along the ancestors are kept."""
+        chain, at = [], self
+        while at and at.sum is None:
+            chain.append(at)
+            at = at.parent
+        total = at.sum if at else 0.0
+        for e in reversed(chain):
+            total += sum(map(weight.__getitem__, e.own))
+            e.sum = total
+        return total + sum(map(weight.__getitem__, self.place))
+
+
 def _marks(attributes: str) -> tuple[str, ...]:
+    return _few_marks(attributes) if len(attributes) < 200 else _all_marks(attributes)
+
+
+def _all_marks(attributes: str) -> tuple[str, ...]:
     found = []
     for m in _NAMED.finditer(attributes):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", next(x for x in m.groups() if x is not None))
@@ -59,29 +99,62 @@ def _marks(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(found))
 
 
+_few_marks = lru_cache(1 << 14)(_all_marks)
+
+
+@lru_cache(1 << 15)
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in their order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    root = Element("", None, ())
+    stack: list[tuple[str, Element, tuple[str, ...]]] = []  # tag, innermost block-level element, its new features
+    where: dict[str, list[int]] = defaultdict(list)  # places in the stack, by tag
+    outer: list[int] = [-1]  # places of block-level elements
+    seen: set[str] = set()  # features of the elements on the stack
     parts: list[str] = []
     linked = hidden = links = at = 0
 
+    def last(tags) -> int:
+        return max([where[t][-1] for t in tags if where.get(t)], default=-1)
+
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(x for x in stack if x[0] not in INLINE), linked))
+                out.append(Block(text, stack[-1][1] if stack else root, linked))
             parts.clear()
             linked = 0
 
+    def enter(tag: str, marks: tuple[str, ...]) -> None:
+        nonlocal hidden, links
+        above = stack[-1][1] if stack else root
+        where[tag].append(len(stack))
+        if tag in INLINE:
+            links += tag == "a"
+            stack.append((tag, above, ()))
+            return
+        new = tuple(f for f in dict.fromkeys((f"tag {tag}", *(f"word {w}" for w in marks if not w.isdigit()))) if f not in seen)
+        seen.update(new)
+        hidden += tag in HIDDEN
+        outer.append(len(stack))
+        stack.append((tag, Element(tag, above, tuple(map(_bucket, new))), new))
+
     def leave(k: int) -> None:
         """Leave all elements from the k-th on."""
         nonlocal hidden, links
-        for t, _ in stack[k:]:
-            hidden -= t in HIDDEN
-            links -= t == "a"
-        del stack[k:]
+        while len(stack) > k:
+            tag, _, new = stack.pop()
+            where[tag].pop()
+            seen.difference_update(new)
+            hidden -= tag in HIDDEN
+            links -= tag == "a"
+            if tag not in INLINE:
+                outer.pop()
 
     def say(piece: str) -> None:
         nonlocal linked
@@ -108,10 +181,10 @@ def blocks(page: str) -> list[Block]:
             if tag == "br":
                 parts.append(" ")
                 continue
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            k = last((tag,))
             if tag in INLINE:
                 # An inline end reaches no further than the block that holds it.
-                if k >= 0 and all(t in INLINE for t, _ in stack[k + 1 :]):
+                if k > outer[-1]:
                     leave(k)
                 continue
             close()
@@ -126,43 +199,26 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in INLINE:
             if not m[3].endswith("/"):
-                stack.append((tag, ()))
-                links += tag == "a"
+                enter(tag, ())
             continue
         close()
         if tag not in HIDDEN:
-            group, holders = SIBLINGS.get(tag, SIBLINGS["p"]), HOLDERS.get(tag, frozenset())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in holders or tag == "p" and stack[k][0] not in INLINE and stack[k][0] != "p":
-                    break
-                if stack[k][0] in group or stack[k][0] == "p":
-                    leave(k)
-                    break
+            k = last((*SIBLINGS.get(tag, ()), "p"))
+            # A paragraph ends only the one that holds it directly; others reach up to their holder.
+            if k >= 0 and k > (outer[-1] - 1 if tag == "p" else last(HOLDERS.get(tag, ()))):
+                leave(k)
         if tag in _RAW:
             at = _RAW[tag].search(page, at).start()
         if not m[3].endswith("/"):
             if tag == "body":
-                leave(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
-            stack.append((tag, _marks(m[3]) if m[3] else ()))
-            hidden += tag in HIDDEN
+                leave(where["head"][0] if where["head"] else len(stack))
+            enter(tag, _marks(m[3]) if m[3] else ())
     close()
     return out
 
 
-@cache
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % BUCKETS
-
-
-@cache
-def _path(path: tuple) -> tuple[int, ...]:
-    found = {f"tag {t}" for t, _ in path} | {f"word {w}" for _, words in path for w in words if not w.isdigit()}
-    found |= {f"in {t}" for t, _ in path[-1:]} | {f"in {a} {b}" for (a, _), (b, _) in zip(path[-2:-1], path[-1:])}
-    return tuple(_bucket(f) for f in sorted(found)) + (_bucket(f"depth {min(len(path), 8)}"),)
-
-
-def features(b: Block, place: int, of: int) -> tuple[int, ...]:
-    """Feature buckets of a block: its ancestors, and its length, links, marks and place."""
+def said(b: Block, place: int, of: int) -> tuple[int, ...]:
+    """Feature buckets of a block itself: its length, links, marks and place."""
     n = len(b.text)
     own = (
         f"length {min(10, n.bit_length())}",
@@ -172,9 +228,14 @@ def features(b: Block, place: int, of: int) -> tuple[int, ...]:
         f"sentences {min(3, b.text.count('. '))}",
         f"sign {b.text[0] in '©®|»›'}",
         "first" if not place else "last" if place == of - 1 else "inside",
-        f"tag {b.path[-1][0] if b.path else ''} short {n < 40}",
+        f"tag {b.holder.tag} short {n < 40}",
     )
-    return _path(b.path) + tuple(map(_bucket, own))
+    return tuple(map(_bucket, own))
+
+
+def features(b: Block, place: int, of: int) -> tuple[int, ...]:
+    """All feature buckets of a block: its ancestors' and its own."""
+    return b.holder.features() + said(b, place, of)
 
 
 @dataclass(frozen=True)
@@ -369,7 +430,7 @@ def main_text(page: str, model: Model, weight: list[float] | None = None) -> str
     """The main text of one page."""
     weight = weight or model.weight.tolist()
     found = blocks(page)
-    evidence = [sum(map(weight.__getitem__, features(b, k, len(found)))) for k, b in enumerate(found)]
+    evidence = [b.holder.evidence(weight) + sum(map(weight.__getitem__, said(b, k, len(found)))) for k, b in enumerate(found)]
     return "\n\n".join(b.text for b, label in zip(found, decode(evidence, model)) if label)
 
 
