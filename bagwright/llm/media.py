@@ -20,7 +20,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +183,7 @@ class Frame:
         self.at = at
 
 
-@cache
+@lru_cache(64)  # 128 KB each
 def _lookup(table: bytes) -> np.ndarray:
     """For each 16 bits: symbol * 32 + bits of the code; 0 if no code fits."""
     out, k, code = np.zeros(1 << 16, np.int32), 16, 0
