@@ -6,12 +6,13 @@ distinct documents are counted per host and line; lines in more than ``share`` o
 documents (and in more than ``least``) are removed; a document that loses more than ``depleted`` of
 its words to that is rejected, as are those that fail the base rules.
 
-Counts are summed before the shuffle, so a line that all documents share is one row per task. Each
-row of the table counts as a document of its own, also where its doc_id comes twice; the rows are
-told apart by a number that is written with them.
+Distinct (host, line, document) triples are spread by all three, and counts are summed before the
+shuffle by line, so a line that all documents share is one row per task then. Rows with equal doc_id
+are one document when documents are counted (as in line dedup), and have a verdict each; the rows
+are told apart by a number that is written with them.
 
-Defined results: null text has no words (base_failed); null host is a host of its own; an empty
-table gives no rows; other columns are ignored.
+Defined results: null text has no words (base_failed); null host is a host of its own; a null doc_id
+is a document of its own (all rows without one together); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,12 +74,12 @@ def lines_of(text: str) -> list[dict]:
         if words := line.split():
             key = b" ".join(words)
             found[key] = found.get(key, 0) + len(words)
-    return [{"line": int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little", signed=True), "words": n} for k, n in found.items()]
+    return [{"line": hashlib.blake2b(k, digest_size=16).digest(), "words": n} for k, n in found.items()]
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """Per row: doc_id, host, BASE, and ``lines`` (array of line, words)."""
-    kinds = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
+    kinds = pa.list_(pa.struct([("line", pa.binary()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,15 +88,16 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["host"], *(pa.array(x, pa.int64()) for x in base), pa.array(map(lines_of, texts), kinds)], names=["doc_id", "host", *BASE, "lines"])
 
     rows = docs.select("doc_id", F.col(host).cast("string").alias("host"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {', '.join(f'{c} long' for c in BASE)}, lines array<struct<line: long, words: long>>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, host string, {', '.join(f'{c} long' for c in BASE)}, lines array<struct<line: binary, words: long>>")
 
 
 def quality(docs: DataFrame, host: str = "source", share: float = 0.05, least: int = 20, depleted: float = 0.5) -> DataFrame:
     """doc_id, BASE, removed_words, base_failed and kept for each row of ``docs`` (doc_id, text, host)."""
     rows = saved(measured(docs, host).withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = rows.select("row", "host", F.inline("lines"))
-    limits = rows.groupBy("host").agg(F.greatest(F.count(F.lit(1)) * F.lit(share), F.lit(float(least))).alias("most"))
-    common = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    lines = rows.select("row", "doc_id", "host", F.inline("lines"))
+    documents = F.count_distinct(F.struct("doc_id"))  # a struct, so that null counts
+    limits = rows.groupBy("host").agg(F.greatest(documents * F.lit(share), F.lit(float(least))).alias("most"))
+    common = lines.groupBy("host", "line").agg(documents.alias("n")).filter(F.col("n") > least)
     common = common.join(limits, common["host"].eqNullSafe(limits["host"])).filter("n > most").select(common["host"].alias("at"), F.col("line").alias("shared"))
     gone = lines.join(common, lines["host"].eqNullSafe(F.col("at")) & (F.col("line") == F.col("shared"))).groupBy("row").agg(F.sum("words").alias("removed_words"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
