@@ -10,6 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that may be broadcast (some dozens of bytes each).
+HEAVY = 200_000
 #: Tables that ``saved`` wrote and ``discard`` hasn't deleted, the oldest first.
 _MADE: list[DataFrame] = []
 
@@ -84,3 +86,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def quoted(name: str):
     """The column of that very name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def met(rows: DataFrame, found: DataFrame, on: list[str], total: int, heavy: int = HEAVY) -> DataFrame:
+    """Inner join of ``rows`` (``total`` in number) with ``found`` (saved; one row per key, n: about the rows of that key).
+
+    Keys that hold more than one in ``heavy`` of all rows are at most ``heavy`` in number, so they can be
+    broadcast at any size of the input; the others have no hot key among them and are shuffled.
+    """
+    if found.count() <= heavy:
+        return rows.join(F.broadcast(found.drop("n")), on)
+    limit = -(-total // heavy)
+    hot, rest = found.filter(F.col("n") >= limit).drop("n"), found.filter(F.col("n") < limit).drop("n")
+    cold = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(rest, on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)

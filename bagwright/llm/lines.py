@@ -9,8 +9,7 @@
 4. Boilerplate is removed everywhere but in the document with the smallest doc_id, so no content
    disappears from the corpus. Texts move once, to meet the places of what they lose.
 
-Rows of lines meet verdicts by ``_met``: lines that hold more than one in ``HEAVY`` of all rows are at most
-``HEAVY`` in number, so they can be broadcast at any size of the corpus; the others have no hot key.
+Rows of lines meet verdicts by ``met``, so that no line is a hot key, whatever its share.
 
 Defined results: null or empty text stays as it is; lines without a word are never removed; a null
 site is no site; rows with equal doc_id are one document (all keep or lose a line alike); a null
@@ -27,12 +26,10 @@ import pyspark.sql.types as T
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, saved
+from .common import HEAVY, fresh, met, quoted, saved
 
 #: Base-2 logarithm of a sketch's registers, and the standard errors that count as near the limit.
 REGISTERS, MARGIN = 10, 4
-#: Lines that may be broadcast (24 bytes each).
-HEAVY = 200_000
 _LINE = ["line", "more"]  # the two halves of a hash
 
 
@@ -53,17 +50,6 @@ def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.inline("lines"))
 
 
-def _met(lines: DataFrame, verdicts: DataFrame, rows: int, heavy: int) -> DataFrame:
-    """``lines`` with ``verdicts`` (saved; a row per line, n: its rows at most) of the same line; lines without one go."""
-    lines_of = verdicts.drop("n")
-    if verdicts.count() <= heavy:
-        return lines.join(F.broadcast(lines_of), _LINE)
-    limit = -(-rows // heavy)
-    hot, rest = (verdicts.filter(F.col("n") >= limit).drop("n"), verdicts.filter(F.col("n") < limit).drop("n"))
-    cold = lines.join(F.broadcast(hot.select(*_LINE)), _LINE, "left_anti").join(rest, _LINE)
-    return lines.join(F.broadcast(hot), _LINE).unionByName(cold)
-
-
 def boilerplate(rows: DataFrame, sites: int = 10, heavy: int = HEAVY) -> tuple[DataFrame, int]:
     """Saved: line, more, keeper (id; null: none) and n of the lines of ``hashed`` rows that at least ``sites`` sites hold; rows of lines."""
     lines = _exploded(rows, "id", "site")
@@ -75,7 +61,7 @@ def boilerplate(rows: DataFrame, sites: int = 10, heavy: int = HEAVY) -> tuple[D
     near = spread.filter(F.col("about") <= high).drop("about")
     total = rows.agg(F.sum(F.size("lines"))).first()[0] or 0
     exact = (
-        _met(lines.filter("site IS NOT NULL").select("site", *_LINE), near.select(*_LINE, "n"), total, heavy)
+        met(lines.filter("site IS NOT NULL").select("site", *_LINE), near.select(*_LINE, "n"), _LINE, total, heavy)
         .distinct()
         .groupBy(*_LINE)
         .agg(F.count(F.lit(1)).alias("sites"))
@@ -91,7 +77,7 @@ def dedup_lines(docs: DataFrame, sites: int = 10, site: str = "source", heavy: i
     rows = hashed(docs, site)
     common, total = boilerplate(rows, sites, heavy)
     # Rows of equal id and text lose the same places.
-    lost = _met(_exploded(rows, "id", "digest"), common, total, heavy).filter(~F.col("id").eqNullSafe(F.col("keeper")))
+    lost = met(_exploded(rows, "id", "digest"), common, _LINE, total, heavy).filter(~F.col("id").eqNullSafe(F.col("keeper")))
     docs = docs.drop("n_lines", "n_removed")
     columns, names = docs.columns, fresh(docs, "id", "digest", "places", "text_digest")
     lost = lost.groupBy("id", "digest").agg(F.collect_set("place").alias("places")).toDF(*names[:3])

@@ -2,32 +2,33 @@
 
 1. Windows of ``LENGTH`` bytes are told apart by their anchor, the least hash of their ``ANCHOR``-byte
    strings: equal windows have equal anchors. Runs of neighbouring windows with one anchor are one
-   context. Anchors are counted across portions of the corpus; windows whose anchor comes once
+   context. Anchors are counted across the corpus; windows whose anchor comes once
    are unique and go no further (exact: no repeated window is lost).
-2. Contexts with a repeated anchor go to the shard of their anchor, each different one of a portion
+2. Contexts with a repeated anchor go to the shard of their anchor, each different one of a span of portions
    once; their text goes along only if the anchor has different contexts (of equal ones
    the earliest stays, which needs no order of suffixes). Windows of an anchor with ``HOT`` or more
-   contexts (counted per portion) go one by one, by their own content, so that no anchor's contexts
-   meet in one task.
-3. A shard brings its different contexts into suffix order by induced sorting (``induced``); its text and the
-   queues beyond ``HELD`` are on the task's disk, but seeds and flags of the text are in memory: a shard must fit
-   in a task's memory, which ``SHARD`` sees to.
+   contexts go one by one, by their own content, so that no anchor's contexts
+   meet in one task; up to ``LENGTH`` bytes travel for each such window that differs within its span.
+3. A shard brings its different contexts into suffix order by external induced sorting (``induced``). Its texts, the
+   queues beyond ``HELD`` bytes, the seeds and the flags are files on the task's disk.
    Windows that have ``LENGTH`` bytes in common are neighbours then; all but the earliest go.
    A context that is equal to an earlier one goes whole.
-4. What goes returns to its portion and is taken out of the texts.
+4. What goes returns to its span and is taken out of the texts.
 
 Order is by doc_id, null last, then by place in the table; rows of equal doc_id are documents of
 their own. Strings are judged on the input. Matches never cross documents. Removal is of bytes and can
 cut a character, whose rest ``dedup`` drops from the text it returns.
 
-Defined results: null or empty text stays as it is, with nothing removed; texts under ``LENGTH``
-bytes are kept whole; texts of any length are judged whole; other columns are kept by ``dedup``
-and ignored by ``removed``; an empty table gives no rows.
+Defined results: doc_id is an integer, or text that holds one (it is cast to long; other text fails or is
+null, as the session casts); null or empty text stays as it is, with nothing removed; texts under ``LENGTH``
+bytes are kept whole; texts of any length are judged whole; other columns are kept by ``dedup``, whatever their
+names, and ignored by ``removed``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import tempfile
 from collections.abc import Iterator
@@ -38,11 +39,11 @@ from pyspark.sql import DataFrame
 
 from .hashing import mixed, powers
 from .induced import BASE, clusters
-from .portions import BUCKET, Row, answers, ask, by_key, counted, give_back, mapped, meet, packed, portions, restored, rows_of, total, unpacked
+from .portions import BUCKET, ROUND, Answers, Exchange, Row, by_key, by_span, give_back, mapped, measured, meet, meet_spans, packed, portions, restored, rows_of, runs_of, span_of, tally, unpacked
 
 LENGTH, ANCHOR, RUN, HOT = 100, 32, 128, 8192
-#: Bytes of corpus text per shard, and bytes of queue that a task keeps in memory.
-SHARD, HELD = 16 << 20, 64 << 20
+#: Bytes of corpus text per shard, and bytes that the sort of a shard keeps in memory.
+SHARD, HELD = 4 << 20, 64 << 20
 
 
 def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -93,7 +94,7 @@ def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, width: int =
     return own[first], start, n, again, content
 
 
-def _windows(portion: int, blob: bytes) -> tuple:
+def _windows(blob: bytes) -> tuple:
     ids, nulls, sizes, text, _ = unpacked(blob)
     data = np.frombuffer(text, np.uint8)
     return (ids, nulls, sizes, text, *runs(data, sizes))
@@ -103,66 +104,79 @@ def _content(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
-def _asked(buckets: int):
+def _asked(exchange: Exchange):
+    """The anchors of each span with their contents; one that comes again in a portion counts twice there."""
+
     def run(rows: Iterator[Row]) -> Iterator[Row]:
-        for portion, _, _, blob in rows:
-            *_, anchor, _, _, _, content = _windows(portion, blob)
-            pairs = np.unique(np.stack((anchor, content)), axis=1)
-            yield from ask(portion, pairs[0], buckets, pairs[1])
+        for span, own in itertools.groupby(rows, key=lambda r: span_of(r[0])):
+            found = []
+            for _, _, _, blob in own:
+                *_, anchor, _, _, _, content = _windows(blob)
+                found.append(tally(anchor, content, most=2))
+            yield from exchange.ask(span, *tally(*(np.concatenate(x) for x in zip(*found))))
 
     return run
 
 
-def _contexts(buckets: int, shards: int):
-    """Per portion: a row (portion, 1, 0, what it holds repeated) and rows (-1 - shard, 2, 0, contexts)."""
+def _contexts(shards: int):
+    """Per portion: a row (portion, 1, 0, its repeated contexts), and per span rows (-1 - shard, 2, 0, different contexts)."""
 
     def run(rows: Iterator[Row]) -> Iterator[Row]:
-        for portion, own in by_key(rows):
-            own = list(own)
-            ids, nulls, sizes, text, anchor, start, n, again, content = _windows(portion, own[0][3])
-            pairs, inverse, here = np.unique(np.stack((anchor, content)), axis=1, return_inverse=True, return_counts=True)
-            count, alike = answers(own[1:], pairs[0], buckets)
-            hot = (count >= HOT)[inverse]
-            # Counts are of pairs; a pair that comes again in the portion is repeated too.
-            hit = ((count > 1) | (here > 1))[inverse] | again
-            text_goes = ~alike[inverse] | again
-            plain = np.flatnonzero(hit & ~text_goes)
-            distinct, first, entry = np.unique(anchor[plain], return_index=True, return_inverse=True)
-            first = plain[first]
-            tables = [np.stack((start[plain], n[plain], entry), axis=1)]
-            keys, at, width, loop = distinct, start[first], n[first], np.zeros(len(first), bool)
-            hits = np.flatnonzero(hit & text_goes)
-            known: dict[bytes, int] = {}
-            rest, more = [], []
-            for a, m, is_hot, twice, key in zip(start[hits].tolist(), n[hits].tolist(), hot[hits].tolist(), again[hits].tolist(), anchor[hits].tolist()):
-                for a, m in [(a + i, 1) for i in range(m)] if is_hot else [(a, m)]:
-                    context = text[a : a + m + LENGTH - 1]
-                    e = known.setdefault(context, len(known))
-                    rest.append((a, m, e + len(distinct)))
-                    if e == len(more):
-                        more.append((_content(context) if is_hot else key, a, m, twice))
-            if rest:
-                tables.append(np.array(rest, np.int64))
-                k, a, m, twice = zip(*more)
-                keys, at, width, loop = np.append(keys, np.array(k, np.uint64)), np.append(at, a), np.append(width, m), np.append(loop, twice)
-            if not len(keys):
+        for span, whole, portions_ in by_span(rows):
+            answers, known, more, tables = Answers(whole), {}, [], []
+            for portion, own in portions_:
+                ids, nulls, sizes, text, anchor, start, n, again, content = _windows(next(own)[3])
+                count, alike = answers.of(anchor)
+                hits = np.flatnonzero((count > 1) | again)
+                if not len(hits):
+                    continue
+                goes = ~alike[hits] | again[hits]
+                plain, hits = hits[~goes], hits[goes]
+                at, width, key, entry = [start[plain]], [n[plain]], [anchor[plain]], [np.full(len(plain), -1)]
+                rest = []
+                for a, m, is_hot, twice, k in zip(start[hits].tolist(), n[hits].tolist(), (count[hits] >= HOT).tolist(), again[hits].tolist(), anchor[hits].tolist()):
+                    for a, m in [(a + i, 1) for i in range(m)] if is_hot else [(a, m)]:
+                        context = text[a : a + m + LENGTH - 1]
+                        e = known.setdefault(context, len(known))
+                        if e == len(more):
+                            more.append((_content(context) if is_hot else k, twice))
+                        rest.append((a, m, e))
+                if rest:
+                    a, m, e = np.array(rest, np.int64).T
+                    at.append(a), width.append(m), entry.append(e), key.append(np.zeros(len(e), np.uint64))
+                at, width, key, entry = (np.concatenate(x) for x in (at, width, key, entry))
+                ends = np.cumsum(sizes)
+                of = np.searchsorted(ends, at, "right")
+                tables.append((np.full(len(at), portion), ids[of], nulls[of], of, at - (ends - sizes)[of], at, width, key, entry))
+            if not tables:
                 continue
-            yield (portion, 1, 0, packed(np.concatenate(tables).astype(np.int32)))
-            ends = np.cumsum(sizes)
-            of = np.searchsorted(ends, at, "right")
-            begin = at - (ends - sizes)[of]
+            portion, ids, nulls, of, begin, at, width, key, entry = (np.concatenate(x) for x in zip(*tables))
+            keys, twice = (np.array([x[k] for x in more], t) for k, t in ((0, np.uint64), (1, bool)))
+            plain = entry < 0
+            distinct, entry[plain] = np.unique(key[plain], return_inverse=True)
+            entry[plain] += len(known)
+            # The earliest of equal contexts stands for them.
+            order = np.lexsort((begin, of, portion, ids, nulls))
+            _, first = np.unique(entry[order], return_index=True)
+            first = order[first]
+            leads = np.zeros(len(entry), bool)
+            leads[first] = True
+            for lo, hi in itertools.pairwise([*runs_of(portion).tolist(), len(portion)]):
+                yield (int(portion[lo]), 1, 0, packed(at[lo:hi].astype(np.int32), width[lo:hi].astype(np.uint8), entry[lo:hi].astype(np.int32), np.packbits(leads[lo:hi])))
+            keys, loop = np.concatenate((keys, distinct)), np.concatenate((twice, np.zeros(len(distinct), bool)))
             pieces = list(known)
             shard = ((keys >> np.uint64(8)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                columns = (keys[part], part.astype(np.int32), ids[of[part]], nulls[of[part]], of[part].astype(np.int32), begin[part].astype(np.int32 if len(text) < 1 << 31 else np.int64), width[part].astype(np.int32), loop[part], part < len(distinct))
-                yield (-1 - int(shard[part[0]]), 2, 0, packed(portion, columns, b"".join([pieces[i - len(distinct)] for i in part.tolist() if i >= len(distinct)])))
+                f = first[part]
+                columns = (keys[part], part.astype(np.int32), portion[f], ids[f], nulls[f], of[f].astype(np.int32), begin[f], width[f].astype(np.uint8), loop[part], part >= len(pieces))
+                yield (-1 - int(shard[part[0]]), 2, 0, packed(span, columns, b"".join([pieces[i] for i in part.tolist() if i < len(pieces)])))
 
     return run
 
 
 def _shard(base: int, held: int):
-    """From rows (-1 - shard, 2, 0, contexts): rows (portion, 2, 0, spans of windows that go, per context). Others pass."""
+    """From rows (-1 - shard, 2, 0, contexts): rows (span, -1, 0, runs of windows that go, per context). Others pass."""
 
     def run(rows: Iterator[Row]) -> Iterator[Row]:
         for key, own in by_key(rows):
@@ -181,12 +195,12 @@ def judged(rows: Iterator[Row], folder: str, base: int = BASE, held: int = HELD)
     with open(path, "wb") as f:
         f.write(b"\0")
         for r in rows:
-            portion, columns, text = unpacked(r[3])
-            columns = tuple(c.astype(np.int64) if c.dtype == np.int32 else c for c in columns)
-            plain = columns[8]
+            span, columns, text = unpacked(r[3])
+            columns = tuple(c.astype(np.int64) if c.dtype in (np.int32, np.uint8) else c for c in columns)
+            plain = columns[9]
             context = np.full(len(plain), -1, np.int64)
             lo = 0
-            for i, hi in zip(np.flatnonzero(~plain).tolist(), np.cumsum(columns[6][~plain] + LENGTH - 1).tolist()):
+            for i, hi in zip(np.flatnonzero(~plain).tolist(), np.cumsum(columns[7][~plain] + LENGTH - 1).tolist()):
                 piece = text[lo:hi]
                 lo = hi
                 mark = hashlib.blake2b(piece, digest_size=16).digest()
@@ -197,10 +211,10 @@ def judged(rows: Iterator[Row], folder: str, base: int = BASE, held: int = HELD)
                     f.write((np.frombuffer(piece, np.uint8) + np.uint8(1)).tobytes() + b"\0")
                     at += len(piece) + 1
                 context[i] = c
-            tables.append((np.full(len(plain), portion), *columns, context))
+            tables.append((np.full(len(plain), span), *columns, context))
         f.write(bytes(16))
     del known
-    portion, key, entry, ids, nulls, doc, begin, width, loop, plain, context = (np.concatenate(c) for c in zip(*tables))
+    span, key, entry, portion, ids, nulls, doc, begin, width, loop, plain, context = (np.concatenate(c) for c in zip(*tables))
     context[plain] = len(places) + np.unique(key[plain], return_inverse=True)[1]
     order = np.lexsort((begin, doc, portion, ids, nulls))
     rank = np.empty(len(order), np.int64)
@@ -209,23 +223,23 @@ def judged(rows: Iterator[Row], folder: str, base: int = BASE, held: int = HELD)
     earliest = np.full(n, len(order), np.int64)
     np.minimum.at(earliest, context, rank)
     is_first = rank == earliest[context]
-    spans = [np.stack((portion, entry, np.zeros(len(entry), np.int64), width))[:, ~is_first]]
+    spans = [np.stack((span, entry, np.zeros(len(entry), np.int64), width))[:, ~is_first]]
     # Of each different context its first place; those alone with their anchor hold nothing repeated.
     one = np.flatnonzero(is_first & ~plain)
     one = one[np.argsort(context[one])]
     _, inverse, count = np.unique(key[one], return_inverse=True, return_counts=True)
     sort = (count[inverse] > 1) | loop[one]
     if sort.any():
-        spans.append(_repeated(path, np.array(places, np.int64), one, sort, (portion, entry, ids, nulls, doc, begin, width), folder, base, held))
-    portion, entry, lo, n = np.concatenate(spans, axis=1)
-    order = np.argsort(portion, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(portion[order])) + 1):
+        spans.append(_repeated(path, np.array(places, np.int64), one, sort, (span, entry, portion, ids, nulls, doc, begin, width), folder, base, held))
+    span, entry, lo, n = np.concatenate(spans, axis=1)
+    order = np.argsort(span, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(span[order])) + 1):
         if len(part):
-            yield (int(portion[part[0]]), 2, 0, packed(entry[part], lo[part], n[part]))
+            yield (int(span[part[0]]), -1, 0, packed(entry[part], lo[part], n[part]))
 
 
 def _repeated(path: str, places: np.ndarray, one: np.ndarray, sort: np.ndarray, columns: tuple, folder: str, base: int, held: int) -> np.ndarray:
-    portion, entry, ids, nulls, doc, begin, width = (c[one] for c in columns)
+    span, entry, portion, ids, nulls, doc, begin, width = (c[one] for c in columns)
     whole = np.memmap(path, np.uint8, "r")
     if sort.all():
         text = whole
@@ -280,48 +294,59 @@ def _repeated(path: str, places: np.ndarray, one: np.ndarray, sort: np.ndarray,
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(out)))
     c = c[first]
-    return np.stack((portion[own][c], entry[own][c], out[first] - start[c], size))
-
-
-def _gone(text: bytes, held: list[Row]) -> np.ndarray | None:
-    """Per byte of a portion whether it goes, from its rows of kind 1 and 2."""
-    if not held:
-        return None
-    (table,) = unpacked(held[0][3])
-    at, width, entry = table.T.astype(np.int64)
-    n = int(entry.max()) + 1
-    first = np.zeros(len(entry), bool)
-    first[np.unique(entry, return_index=True)[1]] = True
-    lo, size = [at[~first]], [width[~first]]  # equal to an earlier one of the portion
-    begin = np.zeros(n, np.int64)
-    begin[entry[first]] = at[first]
-    for r in held[1:]:
-        e, f, m = unpacked(r[3])
-        lo.append(begin[e] + f)
-        size.append(m)
-    lo, size = np.concatenate(lo), np.concatenate(size)
-    edge = np.bincount(lo, minlength=len(text) + 1).astype(np.int64) - np.bincount(lo + size + LENGTH - 1, minlength=len(text) + 1)
-    return np.cumsum(edge[: len(text)]) > 0
-
-
-def marked(docs: DataFrame, base: int = BASE, held: int = HELD, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Portions of ``docs``; what each holds repeated (kind 1) and what of that goes (kind 2)."""
+    return np.stack((span[own][c], entry[own][c], out[first] - start[c], size))
+
+
+class Gone:
+    """What goes of each portion of a span, from the span's rows of ``_shard``."""
+
+    def __init__(self, rows: list[Row]):
+        found = [unpacked(r[3]) for r in rows]
+        entry, lo, n = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
+        order = np.argsort(entry, kind="stable")
+        self.entry, self.lo, self.n = entry[order], lo[order], n[order]
+
+    def of(self, text: bytes, table: bytes | None) -> np.ndarray | None:
+        """Per byte of a portion whether it goes; ``table``: its row of ``_contexts``."""
+        if table is None:
+            return None
+        at, width, entry, leads = unpacked(table)
+        leads = np.unpackbits(leads, count=len(at)).astype(bool)
+        at, width = at.astype(np.int64), width.astype(np.int64)
+        # Where an earlier one of the span stands for a context, it goes whole; else what the shard found.
+        own = entry[leads]
+        first, stop = np.searchsorted(self.entry, own), np.searchsorted(self.entry, own, "right")
+        some = np.repeat(first - np.cumsum(stop - first) + (stop - first), stop - first) + np.arange((stop - first).sum())
+        lo = np.concatenate((at[~leads], np.repeat(at[leads], stop - first) + self.lo[some]))
+        size = np.concatenate((width[~leads], self.n[some]))
+        edge = np.bincount(lo, minlength=len(text) + 1).astype(np.int64) - np.bincount(lo + size + LENGTH - 1, minlength=len(text) + 1)
+        return np.cumsum(edge[: len(text)]) > 0
+
+
+def marked(docs: DataFrame, base: int = BASE, held: int = HELD, keep: tuple[str, ...] = (), bucket: int = BUCKET, most: int = ROUND) -> tuple[DataFrame, DataFrame]:
+    """Portions of ``docs``; the repeated contexts of each (kind 1), and per span what of those goes (kind -1)."""
     all_ = portions(docs, keep=keep)
-    size = total(all_)
-    buckets, shards = max(1, -(-size // BUCKET)), max(1, -(-size // SHARD))
-    counts = counted(mapped(all_, _asked(buckets)))
-    contexts = mapped(meet(all_, counts), _contexts(buckets, shards))
+    size, spans = measured(all_)
+    exchange, shards = Exchange(size, spans, bucket, most), max(1, -(-size // SHARD))
+    counts = exchange.counted(mapped(all_, _asked(exchange)))
+    contexts = mapped(meet_spans(all_, counts), _contexts(shards))
     return all_, mapped(meet(contexts), _shard(base, held))
 
 
+def _judged_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, np.ndarray | None]]:
+    for _, whole, portions_ in by_span(rows_of(batches)):
+        gone = Gone(whole)
+        for _, own in portions_:
+            rows = {kind: blob for _, kind, _, blob in own}
+            portion = unpacked(rows[0])
+            yield portion, gone.of(portion[3], rows.get(1))
+
+
 def removed(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in by_key(rows_of(batches)):
-            own = list(own)
-            ids, nulls, sizes, text, _ = unpacked(own[0][3])
-            gone = _gone(text, own[1:])
+        for (ids, nulls, sizes, text, _), gone in _judged_portions(batches):
             cut, spans, kept, at = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), [], 0
             for i, size in enumerate(sizes.tolist()):
                 part = np.frombuffer(text, np.uint8, size, at)
@@ -335,7 +360,7 @@ def removed(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
                 at += size
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes), pa.array(cut), pa.array(spans), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return meet(*marked(docs, base, held)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return meet_spans(*marked(docs, base, held)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
@@ -343,10 +368,8 @@ def dedup(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in by_key(rows_of(batches)):
-            own = list(own)
-            portion = unpacked(own[0][3])
-            yield from restored(portion, names, _gone(portion[3], own[1:])).to_batches()
+        for portion, gone in _judged_portions(batches):
+            yield from restored(portion, names, gone).to_batches()
         give_back()
 
-    return meet(*marked(docs, base, held, tuple(names))).mapInArrow(run, docs.schema)
+    return meet_spans(*marked(docs, base, held, tuple(names))).mapInArrow(run, docs.schema)

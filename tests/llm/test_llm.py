@@ -9,10 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from bagwright.llm import bpe, chat, extraction, induced, jaccard, langid, lines, media, packing, quality, queries, suffix
+from bagwright.llm import bpe, chat, extraction, induced, jaccard, langid, lines, media, packing, portions, quality, queries, suffix
 
+#: Extra columns with names that the operators use themselves.
+CLASHES = [*("1 AS " + n for n in "key kind part id _id _text _null null kept0 of lost kept gone places digest line lines more n item offset sequence_id shard row host".split()), "cast('x' as binary) AS blob", "0 AS n_removed", "1.5D AS score"]
 WORDS = [a + b + c for a in "bdfglmnprst" for b in "aeiou" for c in ("", "n", "st")]
 
 
@@ -41,7 +44,7 @@ def corpus(seed=5):
 def docs(spark):
     # Extra columns have names that the operators use themselves.
     df = spark.createDataFrame(corpus(), "doc_id long, text string, source string, lang string")
-    return df.selectExpr("*", "1 AS key", "2 AS kind", "3 AS part", "cast('x' as binary) AS blob", "0 AS n_removed", "1.5D AS score").repartition(3)
+    return df.selectExpr("*", *CLASHES).repartition(3)
 
 
 @pytest.fixture(scope="module")
@@ -179,8 +182,8 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("members", [64, 2])
-def test_jaccard(docs, empty, members, monkeypatch):
+@pytest.mark.parametrize("members, bucket, most, heavy", [(64, 32 << 20, 512, 200_000), (2, 1 << 10, 2, 3)])
+def test_jaccard(docs, empty, members, bucket, most, heavy, monkeypatch):
     monkeypatch.setattr(jaccard, "MEMBERS", members)
     monkeypatch.setattr(jaccard, "PARTNERS", members)
     sets = {i: shingle_set(t) for i, t, *_ in corpus()}
@@ -191,7 +194,7 @@ def test_jaccard(docs, empty, members, monkeypatch):
                 n = len(sets[a] & sets[b])
                 if n and 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
                     label[a] = label[b] = min(label[a], label[b])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, bucket, most, heavy).collect()}
     assert got == {i: (len(s), label[i]) for i, s in sets.items()}
     if members > 2:
         kept = jaccard.dedup(docs)
@@ -200,23 +203,33 @@ def test_jaccard(docs, empty, members, monkeypatch):
 
 
 def postings(rows):
-    """Rows of a bucket from (group, tokens, labels)."""
-    return [(0, 0, 0, jaccard.packed(g, np.array(t, np.uint64), np.array(x, np.int64))) for g, t, x in rows]
+    """A bucket of postings from (group, tokens, labels, sizes, limits)."""
+    flat = [(0, t, g, x, n, m) for g, *own in rows for t, x, n, m in zip(*own)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flat)], names=["bucket", "token", "grp", "label", "size", "most"])
 
 
 @pytest.mark.parametrize("most", [1, 3, 512])
 def test_jaccard_meets_across_components_only(spark, most):
     rng = random.Random(most)
-    rows = [(g, *zip(*{(rng.choice((5, 6, 6, 6, 9)), rng.randint(0, 2)) for _ in range(2)})) for g in range(30)]
-    want = {(max(a, b), min(a, b)) for a, t, x in rows for b, u, y in rows if a != b and any(i == j and k != l for i, k in zip(t, x) for j, l in zip(u, y))}
-    made = jaccard.mixing(spark.createDataFrame(postings(rows), jaccard.SCHEMA), most)
-    assert sorted((r.a, r.b) for r in made.collect()) == sorted(want)
-
-
-def test_jaccard_large_family_and_one_outsider():
-    n = 60_000  # all pairs of its groups would be 1.8e9
-    rows = postings([(g, [7], [int(g == 1234)]) for g in range(n)])
-    blocks = [(key, kind, part, jaccard.unpacked(blob)) for key, kind, part, blob in jaccard._blocks(512)(iter(rows))]
+    rows = []
+    for g in range(40):
+        own = {(rng.choice((5, 6, 6, 6, 9)), rng.randint(0, 2)) for _ in range(2)}
+        sizes = [rng.randint(5, 12) for _ in own]
+        rows.append((g, *zip(*own), sizes, [rng.randint(4, 14) for _ in own]))
+    want = set()
+    for a, *own in rows:
+        for b, *other in rows:
+            if a > b and any(t == u and x != y and n <= k and m <= i for t, x, n, i in zip(*own) for u, y, m, k in zip(*other)):
+                want.add((a, b))
+    frame = spark.createDataFrame(pa.Table.from_batches([postings(rows)]).to_pandas()).drop("bucket")
+    made = jaccard.mixing(frame.repartition(3), most)
+    assert sorted((r.a, r.b) for r in made.collect()) == sorted(want) and len(want) > 50
+
+
+def crossed(rows, most=512):
+    """Index pairs that blocks of these postings form, the pairs found, and how many blocks come together."""
+    out = [r for batch in jaccard._blocks(most)(iter([postings(rows)])) for r in jaccard.rows_of([batch])]
+    blocks = [(key, kind, part, jaccard.unpacked(blob)) for key, kind, part, blob in out]
     later = {key: b for key, kind, _, b in blocks if kind == 1}
     together = [(b, b) for _, kind, _, b in blocks if kind == 0] + [(b, later[key + k]) for key, kind, part, b in blocks if kind == 2 for k in range(part)]
     formed, pairs = 0, set()
@@ -224,8 +237,79 @@ def test_jaccard_large_family_and_one_outsider():
         x, y = jaccard.crossing(a, b)
         formed += len(x)
         pairs.update(zip(x.tolist(), y.tolist()))
+    return formed, pairs, len(together)
+
+
+def test_jaccard_large_family_and_one_outsider():
+    n = 60_000  # all pairs of its groups would be 1.8e9
+    formed, pairs, together = crossed([(g, [7], [int(g == 1234)], [100], [110]) for g in range(n)])
     assert formed == n - 1 and pairs == {(max(g, 1234), min(g, 1234)) for g in range(n) if g != 1234}
-    assert len(together) <= n // 512 + 1
+    assert together <= n // 512 + 1
+
+
+def test_jaccard_family_that_cannot_link():
+    # 80 % in common: nobody reaches another's size, whatever the number.
+    groups = [jaccard.Group([bytes([k])], [np.unique(np.concatenate((np.arange(400), np.arange(100) + 1000 + 100 * k)).astype(np.uint64))]) for k in range(50)]
+    count = np.bincount(np.concatenate([g.union for g in groups]).astype(np.int64))
+    rows = []
+    for k, g in enumerate(groups):
+        tokens, parts, sizes, most = jaccard.posted(g, count[g.union.astype(np.int64)])
+        assert len(tokens) and (sizes > most).all()
+        rows.append((k, tokens.tolist(), [k] * len(tokens), sizes.tolist(), most.tolist()))
+    assert crossed(rows) == (0, set(), 0)
+    # Families whose sizes differ meet only where the sizes allow it.
+    rows = [(k, [3], [k], [1000 + k], [1010 + k]) for k in range(20_000)]
+    formed, pairs, together = crossed(rows)
+    assert formed == len(pairs) == sum(min(10, 19_999 - k) for k in range(20_000)) and together < 100
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9])
+def test_jaccard_family_of_pages(spark, share):
+    rng = random.Random(3)
+    core, rows = [prose(rng, 9) for _ in range(60)], []
+    for k in range(300):
+        own = [f"own{k}x{j} " + prose(rng, 8) for j in range(round(60 / share) - 60)]
+        lines_ = [*core, *own] if k % 2 else [*own, *core]
+        rows.append((k, "\n".join(lines_)))
+    got = [r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    sets = [shingle_set(t) for _, t in rows]
+    n = len(sets[0] & sets[2])
+    links = 100 * n >= 75 * (len(sets[0]) + len(sets[2]) - n)
+    assert links == (share == 0.9) and len(set(got)) == (1 if links else 300)
+
+
+@pytest.mark.parametrize("buckets, most", [(1, 512), (7, 512), (40, 4), (100, 1)])
+def test_exchange_counts(spark, buckets, most):
+    rng = np.random.default_rng(buckets)
+    asked = {span << 12: rng.integers(0, 400, 200).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for span in range(30)}
+    values = {s: rng.integers(0, 2, 200).astype(np.uint64) for s in asked}
+    exchange = portions.Exchange(buckets, 30, 1, most)
+    assert exchange.buckets == buckets and (exchange.fan > 1) == (buckets > most)
+    rows = [r for s in asked for r in exchange.ask(s, *portions.tally(asked[s], values[s]))]
+    got = defaultdict(list)
+    answers = exchange.counted(spark.createDataFrame(rows, portions.SCHEMA).repartition(5)).collect()
+    for r in answers:
+        got[r.key].append(tuple(r))
+    number, kinds = Counter(x for k in asked.values() for x in k.tolist()), defaultdict(set)
+    for s in asked:
+        for k, v in zip(asked[s].tolist(), values[s].tolist()):
+            kinds[k].add(v)
+    for s, keys in asked.items():
+        n, alike = portions.Answers(got[s]).of(keys)
+        assert n.tolist() == [number[k] for k in keys.tolist()]
+        assert all(a == (len(kinds[k]) == 1) for k, a in zip(keys.tolist(), alike.tolist()) if number[k] > 1)
+    assert len(rows) + len(answers) <= exchange.rows(len(asked))
+
+
+def test_exchange_rows_stay_in_proportion():
+    most = 0
+    for size in (1 << 29, 30 << 30, 1 << 40, 100 << 40):
+        spans = -(-size // portions.SPAN)
+        exchange = portions.Exchange(size, spans)
+        each = exchange.rows(spans) / (size / portions.PORTION)
+        assert exchange.buckets * portions.BUCKET >= size
+        most = max(most, each)
+    assert most <= 256  # rows for each portion of 1 MB
 
 
 def test_jaccard_family_with_outsider(spark, monkeypatch):
