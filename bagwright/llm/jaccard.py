@@ -256,19 +256,23 @@ _PAIRS = "a long, b long"
 def _columns(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """The columns of all rows of each value of ``key``; rows are sorted by it."""
     held: list[pa.RecordBatch] = []
-    for b in itertools.chain(batches, (None,)):
-        cuts = runs_of(b[key].to_numpy()).tolist() if b is not None and b.num_rows else []
-        if b is not None and not cuts:
+
+    def whole() -> tuple[int, dict[str, np.ndarray]]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        return rows[key][0].as_py(), {n: rows[n].to_numpy() for n in rows.column_names}
+
+    for b in batches:
+        if not b.num_rows:
             continue
-        if held and (b is None or b[key][0].as_py() != held[0][key][0].as_py()):
-            table = pa.Table.from_batches(held)
-            yield held[0][key][0].as_py(), {n: table[n].to_numpy() for n in table.column_names}
-            held = []
-        for lo, hi in itertools.pairwise([*cuts, b.num_rows] if b is not None else []):
+        if held and b[key][0].as_py() != held[0][key][0].as_py():
+            yield whole()
+        for lo, hi in itertools.pairwise([*runs_of(b[key].to_numpy()).tolist(), b.num_rows]):
             if lo:
-                yield held[0][key][0].as_py(), {n: (t := pa.Table.from_batches(held))[n].to_numpy() for n in t.column_names}
-                held = []
+                yield whole()
             held.append(b.slice(lo, hi - lo))
+    if held:
+        yield whole()
 
 
 def _blocks(most: int):

@@ -38,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .hashing import mixed, powers
-from .induced import BASE, clusters
+from .induced import Room, clusters
 from .portions import BUCKET, ROUND, Answers, Exchange, Row, by_key, by_span, give_back, mapped, measured, meet, meet_spans, packed, portions, restored, rows_of, runs_of, span_of, tally, unpacked
 
 LENGTH, ANCHOR, RUN, HOT = 100, 32, 128, 8192
 #: Bytes of corpus text per shard, and bytes that the sort of a shard keeps in memory.
-SHARD, HELD = 4 << 20, 64 << 20
+SHARD, HELD = 16 << 20, 128 << 20
 
 
 def runs(data: np.ndarray, sizes: np.ndarray, length: int = LENGTH, width: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -175,7 +175,7 @@ def _contexts(shards: int):
     return run
 
 
-def _shard(base: int, held: int):
+def _shard(base: int | None, held: int):
     """From rows (-1 - shard, 2, 0, contexts): rows (span, -1, 0, runs of windows that go, per context). Others pass."""
 
     def run(rows: Iterator[Row]) -> Iterator[Row]:
@@ -184,117 +184,135 @@ def _shard(base: int, held: int):
                 yield from own
                 continue
             with tempfile.TemporaryDirectory() as folder:
-                yield from judged(own, folder, base, held)
+                yield from judged(own, Room(folder, held, base))
 
     return run
 
 
-def judged(rows: Iterator[Row], folder: str, base: int = BASE, held: int = HELD) -> Iterator[Row]:
-    path, known, at, tables = os.path.join(folder, "text"), {}, 1, []
-    places: list[int] = []
-    with open(path, "wb") as f:
-        f.write(b"\0")
-        for r in rows:
-            span, columns, text = unpacked(r[3])
-            columns = tuple(c.astype(np.int64) if c.dtype in (np.int32, np.uint8) else c for c in columns)
-            plain = columns[9]
-            context = np.full(len(plain), -1, np.int64)
-            lo = 0
-            for i, hi in zip(np.flatnonzero(~plain).tolist(), np.cumsum(columns[7][~plain] + LENGTH - 1).tolist()):
-                piece = text[lo:hi]
-                lo = hi
-                mark = hashlib.blake2b(piece, digest_size=16).digest()
-                c = known.get(mark)
-                if c is None:
-                    c = known[mark] = len(known)
-                    places.append(at)
-                    f.write((np.frombuffer(piece, np.uint8) + np.uint8(1)).tobytes() + b"\0")
-                    at += len(piece) + 1
-                context[i] = c
-            tables.append((np.full(len(plain), span), *columns, context))
-        f.write(bytes(16))
-    del known
-    span, key, entry, portion, ids, nulls, doc, begin, width, loop, plain, context = (np.concatenate(c) for c in zip(*tables))
-    context[plain] = len(places) + np.unique(key[plain], return_inverse=True)[1]
-    order = np.lexsort((begin, doc, portion, ids, nulls))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    n = int(context.max()) + 1
-    earliest = np.full(n, len(order), np.int64)
-    np.minimum.at(earliest, context, rank)
-    is_first = rank == earliest[context]
-    spans = [np.stack((span, entry, np.zeros(len(entry), np.int64), width))[:, ~is_first]]
-    # Of each different context its first place; those alone with their anchor hold nothing repeated.
-    one = np.flatnonzero(is_first & ~plain)
-    one = one[np.argsort(context[one])]
-    _, inverse, count = np.unique(key[one], return_inverse=True, return_counts=True)
-    sort = (count[inverse] > 1) | loop[one]
-    if sort.any():
-        spans.append(_repeated(path, np.array(places, np.int64), one, sort, (span, entry, portion, ids, nulls, doc, begin, width), folder, base, held))
-    span, entry, lo, n = np.concatenate(spans, axis=1)
-    order = np.argsort(span, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(span[order])) + 1):
-        if len(part):
-            yield (int(span[part[0]]), -1, 0, packed(entry[part], lo[part], n[part]))
-
-
-def _repeated(path: str, places: np.ndarray, one: np.ndarray, sort: np.ndarray, columns: tuple, folder: str, base: int, held: int) -> np.ndarray:
-    span, entry, portion, ids, nulls, doc, begin, width = (c[one] for c in columns)
-    whole = np.memmap(path, np.uint8, "r")
-    if sort.all():
-        text = whole
-    else:  # the contexts to sort, in a file of their own
-        smaller, at = os.path.join(folder, "sorted"), 1
-        moved = np.zeros(len(places), np.int64)
-        with open(smaller, "wb") as f:
-            f.write(b"\0")
-            for c in np.flatnonzero(sort).tolist():
-                size = int(width[c]) + LENGTH
-                moved[c] = at
-                f.write(whole[places[c] : places[c] + size].tobytes())
-                at += size
-            f.write(bytes(16))
-        places, text = moved, np.memmap(smaller, np.uint8, "r")
-    own = np.flatnonzero(sort)
-    start, n = places[own], width[own]
-    chosen = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    # The documents' order and the place in the document, as one number.
-    order = np.lexsort((doc, portion, ids, nulls))
-    same = np.ones(len(order), bool)
-    for c in (doc, portion, ids, nulls):
-        same[1:] &= c[order][1:] == c[order][:-1]
-    document = np.empty(len(order), np.int64)
-    document[order] = np.cumsum(~same)
-    when = (document[own] << 34) + begin[own]
-    goes = np.zeros(len(text), bool)
-
-    def judge(at: np.ndarray, new: np.ndarray) -> None:
-        c = np.searchsorted(start, at, "right") - 1
-        value = when[c] + at - start[c]
-        first = np.flatnonzero(new)
-        least = np.minimum.reduceat(value, first)
-        goes[at] = value > np.repeat(least, np.diff(np.append(first, len(at))))
-
-    rest = (np.zeros(0, np.int64), np.zeros(0, bool))
-    for at, new in clusters(text, chosen, LENGTH, folder, held, base):
-        at, new = np.concatenate((rest[0], at)), np.concatenate((rest[1], new))
+#: A context of a shard: its anchor, where it comes first in its span (in the order of documents), and its windows.
+_CONTEXT = np.dtype([("key", "u8"), ("null", "?"), ("id", "i8"), ("portion", "i8"), ("doc", "i8"), ("begin", "i8"), ("span", "i8"), ("entry", "i8"), ("width", "i8"), ("at", "i8"), ("loop", "?"), ("skip", "?")])
+_ORDER = ("begin", "doc", "portion", "id", "null")
+
+
+def judged(rows: Iterator[Row], room: Room) -> Iterator[Row]:
+    """Runs of windows that go, from the contexts of one shard. Contexts and texts are in files of ``room``."""
+    text, contexts, plain = (open(room.path(), "w+b") for _ in range(3))  # noqa: SIM115
+    at = text.write(b"\0")
+    for r in rows:
+        span, columns, pieces = unpacked(r[3])
+        made = np.zeros(len(columns[0]), _CONTEXT)
+        for name, c in zip(("key", "entry", "portion", "id", "null", "doc", "begin", "width", "loop"), columns):
+            made[name] = c
+        made["span"] = span
+        is_plain = columns[9]
+        plain.write(made[is_plain].tobytes())
+        made = made[~is_plain]
+        sizes = made["width"] + LENGTH - 1
+        made["at"] = at + np.cumsum(sizes + 1) - (sizes + 1)
+        contexts.write(made.tobytes())
+        # Symbols are one more than bytes; a 0 ends each context.
+        out = np.zeros(len(pieces) + len(made), np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(sizes + 1) - 1] = False
+        out[inside] = np.frombuffer(pieces, np.uint8) + np.uint8(1)
+        at += text.write(out.tobytes())
+    text.write(bytes(16))
+    for f in (text, contexts, plain):
+        f.flush()
+        os.unlink(f.name)
+    yield from _sent(_plain_ones(plain, 0, room))
+    if contexts.tell():
+        _lonely(contexts, room)
+        yield from _sent(_repeated(np.memmap(text, np.uint8, "r"), np.memmap(contexts, _CONTEXT, "r"), room))
+    for f in (text, contexts, plain):
+        f.close()
+
+
+def _sent(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[Row]:
+    """Rows by span from blocks of (span, entry, first window, windows)."""
+    for span, entry, lo, n in found:
+        order = np.argsort(span, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(span[order])) + 1):
+            if len(part):
+                yield (int(span[part[0]]), -1, 0, packed(entry[part], lo[part], n[part]))
+
+
+def _by_key(file, bits: int, room: Room) -> Iterator[np.ndarray]:
+    """The contexts of ``file`` in parts that fit; those of one key are in one part."""
+    n = file.seek(0, os.SEEK_END) // _CONTEXT.itemsize
+    rows = np.memmap(file, _CONTEXT, "r") if n else np.zeros(0, _CONTEXT)
+    if n <= room.block * 8 or bits >= 56:
+        yield np.array(rows)
+        return
+    files = [open(room.path(), "w+b") for _ in range(16)]  # noqa: SIM115
+    for part in room.blocks(n):
+        own = rows[part]
+        to = (own["key"] >> np.uint64(bits + 8)) & np.uint64(15)
+        for k, f in enumerate(files):
+            f.write(own[to == k].tobytes())
+    for f in files:
+        f.flush()
+        os.unlink(f.name)
+        yield from _by_key(f, bits + 4, room)
+        f.close()
+
+
+def _plain_ones(file, bits: int, room: Room) -> Iterator[tuple[np.ndarray, ...]]:
+    """Contexts of anchors with one content: all but the earliest of each go whole."""
+    for rows in _by_key(file, bits, room):
+        rows = rows[np.lexsort([rows[n] for n in (*_ORDER, "key")])]
+        goes = rows[1:][rows["key"][1:] == rows["key"][:-1]]
+        yield goes["span"], goes["entry"], np.zeros(len(goes), np.int64), goes["width"]
+
+
+def _lonely(file, room: Room) -> None:
+    """Mark contexts that are alone with their anchor and hold it once: they hold nothing repeated."""
+    rows = np.memmap(file, _CONTEXT, "r+")
+    with open(room.path(), "w+b") as keys:
+        for part in room.blocks(len(rows)):
+            own = rows[part].copy()
+            own["at"] = np.arange(part.start, part.stop)
+            keys.write(own.tobytes())
+        keys.flush()
+        for own in _by_key(keys, 0, room):
+            _, of, n = np.unique(own["key"], return_inverse=True, return_counts=True)
+            rows["skip"][own["at"][(n[of] == 1) & ~own["loop"]]] = True
+        os.unlink(keys.name)
+
+
+def _repeated(text: np.ndarray, contexts: np.ndarray, room: Room) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows that start earlier elsewhere, from the suffix order of the contexts' texts."""
+    starts, widths = room.array(len(contexts)), room.array(len(contexts))
+    for part in room.blocks(len(contexts)):
+        own = contexts[part]
+        starts[part], widths[part] = own["at"], np.where(own["skip"], 0, own["width"])
+    goes = room.array(len(text), np.bool_)
+    held = np.zeros(0, _CONTEXT)  # the earliest of the cluster that goes on in the next block
+    for at, of, new in clusters(text, starts, widths, LENGTH, room):
+        rows = contexts[of]
+        rows["begin"] += at - starts[of]
+        rows["at"] = at
+        if len(held) and not new[0]:
+            rows, new = np.concatenate((held, rows)), np.concatenate(([True], new))
         new[0] = True
-        last = int(np.flatnonzero(new)[-1])  # this cluster may go on in the next block
-        rest = (at[last:], new[last:])
-        if last:
-            judge(at[:last], new[:last])
-    if len(rest[0]):
-        judge(*rest)
-    out = np.flatnonzero(goes)
-    if not len(out):
-        return np.zeros((4, 0), np.int64)
-    c = np.searchsorted(start, out, "right") - 1
-    new = np.ones(len(out), bool)
-    new[1:] = (out[1:] != out[:-1] + 1) | (c[1:] != c[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(out)))
-    c = c[first]
-    return np.stack((span[own][c], entry[own][c], out[first] - start[c], size))
+        cluster = np.cumsum(new)
+        order = np.lexsort((*(rows[n] for n in _ORDER), cluster))
+        first = np.ones(len(order), bool)
+        first[1:] = cluster[order][1:] != cluster[order][:-1]
+        goes[rows["at"][order[~first]]] = True
+        held = rows[order[first][-1:]]
+    for part in room.blocks(len(contexts)):
+        own = contexts[part]
+        lo, hi = int(own["at"][0]), int(own["at"][-1] + own["width"][-1])
+        out = np.flatnonzero(goes[lo:hi]) + lo
+        if not len(out):
+            continue
+        of = np.searchsorted(own["at"], out, "right") - 1
+        first = np.ones(len(out), bool)
+        first[1:] = (out[1:] != out[:-1] + 1) | (of[1:] != of[:-1])
+        first = np.flatnonzero(first)
+        c = of[first]
+        yield own["span"][c], own["entry"][c], out[first] - own["at"][c], np.diff(np.append(first, len(out)))
 
 
 class Gone:
@@ -323,7 +341,7 @@ class Gone:
         return np.cumsum(edge[: len(text)]) > 0
 
 
-def marked(docs: DataFrame, base: int = BASE, held: int = HELD, keep: tuple[str, ...] = (), bucket: int = BUCKET, most: int = ROUND) -> tuple[DataFrame, DataFrame]:
+def marked(docs: DataFrame, base: int | None = None, held: int = HELD, keep: tuple[str, ...] = (), bucket: int = BUCKET, most: int = ROUND) -> tuple[DataFrame, DataFrame]:
     """Portions of ``docs``; the repeated contexts of each (kind 1), and per span what of those goes (kind -1)."""
     all_ = portions(docs, keep=keep)
     size, spans = measured(all_)
@@ -342,7 +360,7 @@ def _judged_portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple,
             yield portion, gone.of(portion[3], rows.get(1))
 
 
-def removed(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
+def removed(docs: DataFrame, base: int | None = None, held: int = HELD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +381,7 @@ def removed(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
     return meet_spans(*marked(docs, base, held)).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def dedup(docs: DataFrame, base: int = BASE, held: int = HELD) -> DataFrame:
+def dedup(docs: DataFrame, base: int | None = None, held: int = HELD) -> DataFrame:
     """``docs`` (doc_id integer, text, others) with repeated strings taken out of ``text``; all columns stay."""
     names = docs.columns
 

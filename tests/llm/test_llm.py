@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import tempfile
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,8 +102,10 @@ def test_media_round_trip(docs, empty):
     assert media.thumbnails([b"", b"\xff\xd8nonsense"]) == [None, None]
 
 
-def test_suffix_clusters():
-    rng = random.Random(1)
+@pytest.mark.parametrize("names", [4096, 2])
+def test_suffix_clusters(names, monkeypatch):
+    monkeypatch.setattr(induced, "NAMES", names)
+    rng = random.Random(names)
     for _ in range(150):
         letters = rng.choice((b"a", b"ab", b"abcdefgh", bytes([0, 1, 254])))
         strings = [bytes(rng.choice(letters) for _ in range(rng.choice((0, 1, 5, 20, 60)))) for _ in range(rng.randint(1, 6))]
@@ -113,8 +116,11 @@ def test_suffix_clusters():
         text, number, groups = np.array(text + [0] * 16, np.uint8), -1, defaultdict(set)
         if not chosen:
             continue
+        begins = [c for c in chosen if c - 1 not in chosen]
+        widths = [next(n for n in range(1, len(chosen) + 1) if c + n not in chosen) for c in begins]
         with tempfile.TemporaryDirectory() as folder:  # recursion to the end, and queues in files
-            for at, new in induced.clusters(text, np.array(chosen), depth, folder, rng.choice((64, 1 << 20)), rng.choice((1, 3, 1 << 20))):
+            for at, of, new in induced.clusters(text, np.array(begins), np.array(widths), depth, induced.Room(folder, rng.choice((64, 1 << 20)), rng.choice((1, 3, 1 << 20)))):
+                assert all(begins[k] <= a < begins[k] + widths[k] for a, k in zip(at.tolist(), of.tolist()))
                 for a, n in zip(at.tolist(), new.tolist()):
                     number += n
                     groups[number].add(a)
@@ -124,6 +130,31 @@ def test_suffix_clusters():
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_suffix_memory_is_bounded():
+    """A text several times as large as what the sort may hold, with recursion and repeats."""
+    rng = np.random.default_rng(1)
+    contexts, size = [], 256
+    for k in range(3000):
+        own = rng.integers(97, 101, size).astype(np.uint8)
+        contexts.append(contexts[rng.integers(0, k)] if k % 3 == 2 else own)
+    text = np.concatenate([np.zeros(1, np.uint8), *(x for c in contexts for x in (c, np.zeros(1, np.uint8))), np.zeros(16, np.uint8)])
+    starts, width, held = np.arange(len(contexts)) * (size + 1) + 1, size - 99, 1 << 17
+    with tempfile.TemporaryDirectory() as folder:
+        path = f"{folder}/text"
+        text.tofile(path)
+        mapped, widths = np.memmap(path, np.uint8, "r"), np.full(len(starts), width)
+        tracemalloc.start()
+        try:
+            n = firsts = 0
+            for at, _, new in induced.clusters(mapped, starts, widths, 100, induced.Room(folder, held)):
+                n, firsts = n + len(at), firsts + int(new.sum())
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+    assert n == len(starts) * width and firsts == len({bytes(c) for c in contexts}) * width
+    assert len(text) > 5 * held and peak < 6 * held, peak
+
+
 def removed_by_hand(rows):
     seen, out = set(), {}
     for i, text in sorted(rows, key=lambda r: r[0]):
