@@ -1,16 +1,18 @@
 """Best-fit packing: documents' tokens into sequences of fixed length by a grouping genetic algorithm.
 
 ``tokenized`` cuts each document's ids into pieces. ``pack`` deals the pieces into shards of about
-``SHARD`` pieces. Each shard is worked on by islands, populations of whole packings. A child is made
-by injecting well-filled bins of one parent into the other, removing the bins that then hold a
-piece twice, and placing the displaced pieces by best fit. Between epochs each island sends its best
-packing to the next one (a shuffle of one row per island). The best packing of a shard wins; its
-badly filled bins are opened and their pieces of all shards go through the same again, until few
-are left. Shards are of bounded size at any scale, and nothing is collected.
+``SHARD`` pieces. Each shard is worked on by islands, populations of whole packings that begin with best fit
+in random order. A child is made by injecting well-filled bins of one parent into the other, removing the bins that
+then hold a piece twice and those with most room, and placing the displaced pieces by best fit. An island goes on
+until no packing can have fewer bins or ``patience`` children in a row are no better than the best. Between epochs it
+sends its best packing to the next island (a shuffle of one row per island). The best packing of a shard wins; its
+badly filled bins are opened and their pieces of all shards go through the same again, until they
+fit in one shard or opening doesn't help. Shards are of bounded size at any scale, and nothing is collected.
 
 Defined results: null text is empty and is one piece of one token (the end mark); repeated rows are
-packed each for itself; control strings of the tokenizer in a text are single tokens, exactly as spelled; other columns are ignored; an empty table gives no rows; texts of any length
-are cut into pieces of ``CAPACITY`` tokens, of which only the last may be shorter.
+packed each for itself; control strings of the tokenizer in a text are single tokens, exactly as spelled; other columns
+are ignored by ``tokenized`` and kept by ``pack``; an empty table gives no rows; texts of any length
+are cut into pieces of ``CAPACITY`` tokens, of which only the last may be shorter; doc_id may be null.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import fresh, quoted, saved, scratch
 
 CAPACITY, END, SHARD, WORDS, PORTION = 2048, 0, 4096, 1_000_000, 8 << 20
 MARK = "\x00"
@@ -209,32 +211,37 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, bins: Bins, into: np.ndarra
         into[i] = place(sizes[i])
 
 
+def least(lengths: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins."""
+    return -(-int(lengths.sum()) // capacity)
+
+
 def fitness(lengths: np.ndarray, packing: np.ndarray, capacity: int) -> float:
-    """Mean of squared fill; larger with fewer and with fuller bins."""
+    """Mean of squared fill, less the bins: fewer bins come first, then unequal ones (room lies together)."""
     fill = np.bincount(packing, lengths) / capacity
-    return float((fill**2).sum() / max(1, len(fill)))
+    return float((fill**2).sum() / max(1, len(fill))) - len(fill)
 
 
-def first(lengths: np.ndarray, capacity: int, noise: float, rng: np.random.Generator) -> np.ndarray:
-    """Best fit, long pieces first, with lengths blurred by ``noise``."""
+def first(lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """Best fit in random order."""
     packing = np.empty(len(lengths), np.int64)
-    best_fit(lengths, np.argsort(-lengths * (1 + noise * rng.random(len(lengths))), kind="stable"), Bins(capacity), packing)
+    best_fit(lengths, rng.permutation(len(lengths)), Bins(capacity), packing)
     return packing
 
 
 def crossed(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A child: the mother's bins and some well-filled bins of the father; each piece once."""
+    """A child: some well-filled bins of the father, the mother's bins without a piece of those, and the rest by best fit."""
     fill = np.bincount(father, lengths)
-    good = np.flatnonzero(fill >= capacity * rng.choice((1.0, 0.995, 0.98)))
-    good = good[rng.random(len(good)) < rng.choice((0.25, 0.5))]
+    good = np.flatnonzero(fill >= capacity * rng.choice((1.0, 0.998, 0.98)))
+    good = good[rng.random(len(good)) < rng.choice((0.02, 0.1, 0.4))]
     chosen = np.zeros(len(fill), bool)
     chosen[good] = True
     injected = chosen[father]
-    # Bins of the mother that hold an injected piece go; so does, at random, one bin in eight that isn't full.
+    # Bins of the mother that hold an injected piece go; so do those with most room, and at random some full ones.
     room = capacity - np.bincount(mother, lengths)
-    gone = np.zeros(len(room), bool)
+    gone = rng.random(len(room)) < np.where(room > 0, rng.choice((0.1, 0.5)), rng.choice((0.0, 0.01, 0.1)))
+    gone |= room >= np.sort(room)[-min(len(room), 3)]
     gone[mother[injected]] = True
-    gone |= (room > 0) & (rng.random(len(room)) < 0.125)
     stays = ~gone[mother] & ~injected
     child = np.full(len(lengths), -1, np.int64)
     names = np.cumsum(~gone) - 1
@@ -243,97 +250,129 @@ def crossed(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capacit
     bins.n = int((~gone).sum())
     fresh = np.cumsum(chosen) - 1 + bins.n
     child[injected] = fresh[father[injected]]
-    for bin_, left in zip(names[~gone].tolist(), room[~gone].tolist()):
-        bins.add(bin_, int(left))
     bins.n += len(good)
-    for bin_, left in zip(fresh[good].tolist(), (capacity - fill[good]).tolist()):
-        bins.add(bin_, int(left))
     displaced = np.flatnonzero(child < 0)
-    best_fit(lengths, displaced[np.argsort(-lengths[displaced], kind="stable")], bins, child)
+    smallest = lengths[displaced].min(initial=capacity)
+    for own, left in ((names[~gone], room[~gone]), (fresh[good], capacity - fill[good])):
+        takes = left >= smallest
+        for bin_, space in zip(own[takes].tolist(), left[takes].astype(np.int64).tolist()):
+            bins.add(bin_, space)
+    # Long pieces first, more or less.
+    blur = 1 + rng.choice((0.0, 0.0, 0.05, 0.3)) * rng.random(len(displaced))
+    best_fit(lengths, displaced[np.argsort(-lengths[displaced] * blur, kind="stable")], bins, child)
     return child
 
 
-def evolve(lengths: np.ndarray, people: list[np.ndarray], capacity: int, children: int, seed: int) -> list[np.ndarray]:
-    """``people`` after so many children; the worst goes for each that is better. The best comes first."""
-    rng = np.random.default_rng(seed)
-    rated = [(fitness(lengths, p, capacity), p) for p in people]
-    for _ in range(children):
+def evolve(lengths: np.ndarray, people: list[np.ndarray], capacity: int, patience: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """``people`` after children that replace the worst where they are better. The best comes first.
+
+    It ends when no packing can have fewer bins, or after ``patience`` children without one that is better than all.
+    """
+    rated = sorted(((fitness(lengths, p, capacity), k, p) for k, p in enumerate(people)), reverse=True)
+    bound, idle, n = least(lengths, capacity), 0, len(people)
+    while idle < patience and int(rated[0][2].max(initial=-1)) + 1 > bound:
         a, b = rng.choice(len(rated), 2, replace=len(rated) < 2)
-        child = crossed(lengths, rated[a][1], rated[b][1], capacity, rng)
+        child = crossed(lengths, rated[a][2], rated[b][2], capacity, rng)
         value = fitness(lengths, child, capacity)
-        worst = min(range(len(rated)), key=lambda k: rated[k][0])
-        if value > rated[worst][0]:
-            rated[worst] = value, child
-    return [p for _, p in sorted(rated, key=lambda x: -x[0])]
+        idle = 0 if value > rated[0][0] else idle + 1
+        if value > rated[-1][0] and all(value != r[0] for r in rated):
+            rated[-1] = value, n, child
+            rated.sort(reverse=True)
+            n += 1
+    return [p for *_, p in rated]
 
 
-_ISLAND = "shard long, island int, items array<long>, lengths array<long>, people array<array<long>>, elite array<long>, fit double"
-_KINDS = {"shard": pa.int64(), "island": pa.int32(), "items": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "people": pa.list_(pa.list_(pa.int64())), "elite": pa.list_(pa.int64()), "fit": pa.float64()}
+_ISLAND = "shard long, island int, items binary, lengths binary, people array<binary>, elite binary, fit double"
+_KINDS = {"shard": pa.int64(), "island": pa.int32(), "items": pa.binary(), "lengths": pa.binary(), "people": pa.list_(pa.binary()), "elite": pa.binary(), "fit": pa.float64()}
 
 
-def _epoch(rows: DataFrame, capacity: int, people: int, children: int, seed: int) -> DataFrame:
-    """One epoch of each row (shard, island, items, lengths, people, migrant); null people: a new population."""
+def _ints(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(data, kind).astype(np.int64)
+
+
+def _bytes(x: np.ndarray, kind: str = "<i4") -> bytes:
+    return x.astype(kind).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                lengths, own = np.array(r["lengths"], np.int64), seed * 1_000_003 + r["shard"] * 101 + r["island"]
-                if r["people"] is None:
-                    rng = np.random.default_rng(own)
-                    crowd = [first(lengths, capacity, 0.0 if k + r["island"] == 0 else 0.05 * (k + r["island"]), rng) for k in range(people)]
-                else:
-                    crowd = [np.array(p, np.int64) for p in r["people"]]
-                    crowd[-1] = np.array(r["migrant"], np.int64)
-                crowd = evolve(lengths, crowd, capacity, children, own)
-                values = [[r["shard"]], [r["island"]], [r["items"]], [r["lengths"]], [[p.tolist() for p in crowd]], [crowd[0].tolist()], [fitness(lengths, crowd[0], capacity)]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _KINDS.values())], names=list(_KINDS))
 
-    return rows.mapInArrow(run, _ISLAND)
+def _island(shard: int, island: int, items: bytes, lengths: bytes, people: list[np.ndarray], capacity: int, patience: int, rng: np.random.Generator) -> pa.RecordBatch:
+    sizes = _ints(lengths)
+    people = evolve(sizes, people, capacity, patience, rng)
+    values = [shard, island, items, lengths, [_bytes(p) for p in people], _bytes(people[0]), fitness(sizes, people[0], capacity)]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, _KINDS.values())], names=list(_KINDS))
 
 
-def _round(spark, items: DataFrame, n: int, capacity: int, islands: int, epochs: int, people: int, children: int, seed: int) -> DataFrame:
+def _round(spark, items: DataFrame, n: int, capacity: int, islands: int, epochs: int, people: int, patience: int, seed: int) -> DataFrame:
     """item, length, shard, bin, offset and room (of the bin) for ``items`` (item, length)."""
     shards = max(1, -(-n // SHARD))
     dealt = items.groupBy(F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("x"))
     rows = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("x.item").alias("items"), F.col("x.length").alias("lengths"))
     spread = max(1, min(shards * islands, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    rows = rows.repartition(spread, "shard", "island")
-    rows = _epoch(rows.withColumns({"people": F.lit(None).cast("array<array<long>>"), "migrant": F.lit(None).cast("array<long>")}), capacity, people, children, seed)
+
+    def chance(shard: int, island: int, epoch: int) -> np.random.Generator:
+        return np.random.default_rng((seed, epoch, shard, island))
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                shard, island = b["shard"][k].as_py(), b["island"][k].as_py()
+                own, sizes = (b[c][k].values.to_numpy() for c in ("items", "lengths"))
+                rng = chance(shard, island, 0)
+                yield _island(shard, island, _bytes(own, "<i8"), _bytes(sizes), [first(sizes, capacity, rng) for _ in range(people)], capacity, patience, rng)
+
+    def continued(epoch: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    # The migrant takes the place of the worst.
+                    crowd = [_ints(p) for p in [*r["people"][: max(0, people - 1)], r["migrant"]]]
+                    yield _island(r["shard"], r["island"], r["items"], r["lengths"], crowd, capacity, patience, chance(r["shard"], r["island"], epoch))
+
+        return run
+
+    rows = rows.repartition(spread, "shard", "island").mapInArrow(settled, _ISLAND)
     for epoch in range(1, epochs):
         done = saved(rows, "islands")
         elite = done.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.col("elite").alias("migrant"))
-        rows = _epoch(done.select("shard", "island", "items", "lengths", "people").join(elite, ["shard", "island"]), capacity, people, children, seed + epoch)
+        rows = done.select("shard", "island", "items", "lengths", "people").join(elite, ["shard", "island"]).mapInArrow(continued(epoch), _ISLAND)
     best = rows.groupBy("shard").agg(F.max_by(F.struct("items", "lengths", "elite"), F.struct("fit", -F.col("island"))).alias("b")).select("shard", "b.*")
 
     def laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                lengths, bins = np.array(r["lengths"], np.int64), np.array(r["elite"], np.int64)
+                lengths, bins = _ints(r["lengths"]), _ints(r["elite"])
                 order = np.argsort(bins, kind="stable")
                 ends = lengths[order].cumsum()
                 fill = np.bincount(bins, lengths).astype(np.int64)
                 offset = np.empty(len(bins), np.int64)
                 offset[order] = ends - lengths[order] - (fill.cumsum() - fill)[bins[order]]
-                arrays = [np.array(r["items"], np.int64), lengths, np.full(len(bins), r["shard"]), bins, offset, capacity - fill[bins]]
+                arrays = [_ints(r["items"], "<i8"), lengths, np.full(len(bins), r["shard"]), bins, offset, capacity - fill[bins]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()) for a in arrays], names=["item", "length", "shard", "bin", "offset", "room"])
 
     return best.mapInArrow(laid, "item long, length long, shard long, bin long, offset long, room long")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: int = 2, people: int = 3, children: int = 4, rounds: int = 3) -> DataFrame:
-    """``pieces`` (with a column length, at most ``capacity``) with the columns sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, islands: int = 2, epochs: int = 3, people: int = 4, patience: int = 40, rounds: int = 16) -> DataFrame:
+    """``pieces`` (with a column length, at most ``capacity``) with the columns sequence_id and offset (replaced, if there are such)."""
     spark = pieces.sparkSession
-    pieces = saved(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    full = pieces.filter(F.col("length") >= capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    left, placed = pieces.filter(F.col("length") < capacity).select("item", "length"), full
+    pieces = pieces.drop("sequence_id", "offset")
+    item, placed_item = fresh(pieces, "item", "placed")
+    pieces = saved(pieces.withColumn(item, F.monotonically_increasing_id()), "pieces")
+    names = pieces.columns[:-1]
+    short = pieces.select(F.col(item).alias("item"), F.col("length").cast("long").alias("length"))
+    placed = short.filter(F.col("length") >= capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    left, used = short.filter(F.col("length") < capacity), []
     for k in range(rounds):
         n = left.count()
-        laid = saved(_round(spark, left, n, capacity, islands, epochs, people, children, k), "packed")
-        # Bins that stay open by more than a hundredth are filled anew together with those of other shards.
-        last = k == rounds - 1 or n <= SHARD
+        with scratch():
+            laid = saved(_round(spark, left, n, capacity, islands, epochs, people, patience, k), "packed")
+        used.append(laid)
+        # Bins that stay open by more than a hundredth are filled anew together with those of other shards, while that helps.
+        opened = laid.filter(F.col("room") * 100 > capacity)
+        last = n <= SHARD or k == rounds - 1 or 2 * opened.count() > n
         good = laid if last else laid.filter(F.col("room") * 100 <= capacity)
         placed = placed.union(good.select("item", (F.lit(k << 56) + F.col("shard") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
             break
-        left = laid.filter(F.col("room") * 100 > capacity).select("item", "length")
-    return pieces.join(placed, "item").drop("item")
+        left = opened.select("item", "length")
+    placed = placed.withColumnRenamed("item", placed_item)
+    return pieces.join(placed, pieces[item] == placed[placed_item]).select(*map(quoted, names), "sequence_id", "offset")
