@@ -234,11 +234,25 @@ def count(e: Expr) -> Expr:
     return _fold(e, "count", lambda d: True, INT, lambda a: F.count(F.lit(1)), lambda a: F.lit(1).cast("bigint"))
 
 
-def any_(e: Expr) -> Expr:
+def _each(e: Expr, test: Callable | None, what: str) -> Expr:
+    """The bag of what ``test`` says of each element."""
+    if test is None:
+        return e
+    if not isinstance(e, Expr) or not e.bag or e.optional:
+        raise RuleError(f"{what} takes a bag without missing values")
+    said = truth(test(Expr(e.column, e.domain, single=e.alone)))
+    return Expr(said.column, BOOL, bag=True, single=said.alone)
+
+
+def any_(e: Expr, test: Callable | None = None) -> Expr:
+    """Whether a bag of truths holds one, or ``test`` holds for an element."""
+    e = _each(e, test, "any")
     return _fold(e, "any", lambda d: d == BOOL, BOOL, F.bool_or, lambda a: a)
 
 
-def all_(e: Expr) -> Expr:
+def all_(e: Expr, test: Callable | None = None) -> Expr:
+    """Whether a bag holds truths alone, or ``test`` holds for each element."""
+    e = _each(e, test, "all")
     return _fold(e, "all", lambda d: d == BOOL, BOOL, F.bool_and, lambda a: a)
 
 
@@ -247,6 +261,83 @@ def mean(e: Expr) -> Expr:
     return (sum_(e) if e.domain == REAL else to_real(sum_(e))) / to_real(count(e))
 
 
+def _known_fold(e: Expr, what: str, ok: Callable[[Domain], bool], f: Callable) -> Expr:
+    if not isinstance(e, Expr) or not e.bag or not ok(e.domain):
+        raise RuleError(f"{what} takes a bag of a fitting domain")
+    return Expr(f(e.column), e.domain, optional=True, single=e.alone, aggregate=True)
+
+
+def sum_known(e: Expr) -> Expr:
+    """The sum of the known elements; missing if none is known. Beyond the algebra, as are the next three."""
+    return _known_fold(e, "sum_known", lambda d: d.numeric, F.sum)
+
+
+def min_known(e: Expr) -> Expr:
+    return _known_fold(e, "min_known", lambda d: d.orderable, F.min)
+
+
+def max_known(e: Expr) -> Expr:
+    return _known_fold(e, "max_known", lambda d: d.orderable, F.max)
+
+
+def count_known(e: Expr) -> Expr:
+    """How many elements are known."""
+    if not isinstance(e, Expr) or not e.bag:
+        raise RuleError("count_known takes a bag")
+    return Expr(F.count(e.column), INT, single=F.when(e.alone.isNull(), 0).otherwise(1).cast("bigint"), aggregate=True)
+
+
+def _from_real(e: Expr, what: str, f: Callable, domain: Domain = INT) -> Expr:
+    if lift(e)._value(what).domain != REAL:
+        raise RuleError(f"{what} of {lift(e).domain}")
+    return lift(e)._with(f, domain=domain)
+
+
+def floor_(e: Expr) -> Expr:
+    """The largest int that isn't above a real."""
+    return _from_real(e, "floor", lambda a: F.floor(a).cast("bigint"))
+
+
+def ceil_(e: Expr) -> Expr:
+    """The smallest int that isn't below a real."""
+    return _from_real(e, "ceil", lambda a: F.ceil(a).cast("bigint"))
+
+
+def trunc_(e: Expr) -> Expr:
+    """A real without its fraction, as int."""
+    return _from_real(e, "trunc", lambda a: F.when(a < 0, F.ceil(a)).otherwise(F.floor(a)).cast("bigint"))
+
+
+def round_(e: Expr, places: int = 0) -> Expr:
+    """A real to so many decimal places; halves go away from zero."""
+    return _from_real(e, "round", lambda a: F.round(a, places), REAL)
+
+
+def _by(a: Expr, b, what: str, f: Callable) -> Expr:
+    a, b = a._pair(b, what)
+    if a.domain != INT or b.domain != INT or not isinstance(b.literal, int) or b.literal <= 0:
+        raise RuleError(f"{what} takes an int and a literal above 0")
+    return a._with(f, b, domain=INT)
+
+
+def mod(a: Expr, b: int) -> Expr:
+    """The remainder from 0 to b - 1."""
+    return _by(a, b, "mod", F.pmod)
+
+
+def div(a: Expr, b: int) -> Expr:
+    """The quotient that goes with ``mod``: rounded down."""
+    return _by(a, b, "div", lambda x, y: F.call_function("div", x - F.pmod(x, y), y))
+
+
+def hashed(n: int, *values: Expr) -> Expr:
+    """A number from 0 to n - 1 that depends on the values alone: for deterministic parts of a key."""
+    values = [lift(v)._value("hash") for v in values]
+    if not values or n < 1:
+        raise RuleError("a hash takes values and a number of parts")
+    return values[0]._with(lambda *x: F.pmod(F.xxhash64(*x), F.lit(n)), *values[1:], domain=INT)
+
+
 class Columns:
     """The columns in scope, as attributes or items."""
 

@@ -224,24 +224,41 @@ class KeyedTable:
             return self
         return self._derived(self.df.distinct(), keys=self.type.keys | {frozenset(self.type.names)})
 
-    def ordered(self, by: str, **made) -> KeyedTable:
-        """Columns that depend on an order within each key: cumsum(x), rank(), lag(x). Beyond the algebra's own operators."""
-        f = self.type.field(by)
-        if not f.domain.orderable or f.optional:
-            raise RuleError(f"{by} gives no order")
-        w = Window.partitionBy(*self.index).orderBy(by)
+    def aggregate(self, *by: str, **made: Callable) -> KeyedTable:
+        """Aggregates per key and ``by``; each is a function of key and group. Short for extend_key and group_map."""
+        extended = self.extend_key(*by) if by else self
+        return extended.group_map(lambda k, g: {n: f(k, g) for n, f in made.items()})
+
+    def ordered(self, by: str, tie: tuple[str, ...] = (), **made) -> KeyedTable:
+        """Columns that depend on an order within each key: cumsum(x), rank(), size(), lag(x), lead(x). Beyond the algebra's own operators.
+
+        lag and lead need an order without ties: a candidate key among the key, ``by`` and ``tie``.
+        """
+        for n in (by, *tie):
+            if not self.type.field(n).domain.orderable or self.type.field(n).optional:
+                raise RuleError(f"{n} gives no order")
+        if not self.index:
+            raise RuleError("an order without a key would put the table in one task")
+        ties = not any(k <= {*self.index, by, *tie} for k in self.type.keys)
+        w = Window.partitionBy(*self.index).orderBy(by, *tie)
         fields = [*self.type.values]
         columns = []
         for n, (kind, of) in made.items():
             if kind == "rank":
                 columns.append(F.rank().over(w).cast("bigint").alias(n))
                 fields.append(Field(n, INT))
+            elif kind == "size":
+                columns.append(F.count(F.lit(1)).over(Window.partitionBy(*self.index)).alias(n))
+                fields.append(Field(n, INT))
             else:
                 source = self.type.field(of)
                 if kind == "cumsum" and (not source.domain.numeric or source.optional):
                     raise RuleError(f"cumsum of {source.domain}")
-                columns.append((F.sum(of).over(w.rangeBetween(Window.unboundedPreceding, 0)) if kind == "cumsum" else F.lag(of).over(w)).alias(n))
-                fields.append(Field(n, source.domain, kind == "lag"))
+                if kind != "cumsum" and ties:
+                    raise RuleError(f"{kind} needs an order without ties; name columns for it in tie")
+                made_ = {"cumsum": lambda of: F.sum(of).over(w.rangeBetween(Window.unboundedPreceding, 0)), "lag": lambda of: F.lag(of).over(w), "lead": lambda of: F.lead(of).over(w)}
+                columns.append(made_[kind](of).alias(n))
+                fields.append(Field(n, source.domain, kind != "cumsum"))
         return self._derived(self.df.select("*", *columns), values=tuple(fields))
 
     # Keys

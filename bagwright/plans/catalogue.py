@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.domains import DATE, enum
-from ..functions.expressions import all_, any_, count, lift, max_, mean, min_, sum_, to_real
-from ..operators.table import KeyedTable, cond, evaluate, folds, row
-from ..sources.stores import bag_source, load, store
+from ..functions.expressions import all_, any_, ceil_, count, count_known, div, floor_, lift, max_, max_known, mean, min_, mod, round_, sum_, sum_known, to_real, trunc_
+from ..operators.table import KeyedTable, cond, disjointness_check, evaluate, folds, row
+from ..sources.stores import apply_deltas, bag_source, insert, load, refresh, store, update
 from ..streaming import windows
 
 FLAG, STATUS, LINE = enum("A", "N", "R"), enum("F", "O", "P"), enum("F", "O")
@@ -441,6 +442,75 @@ def kfold_disjoint(get):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+@query("SELECT l_orderkey, l_returnflag, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def sugar_aggregate(get):
+    return lines(get, "l_orderkey").aggregate("l_returnflag", quantity=lambda k, g: sum_(g.l_quantity), n=lambda k, g: count(g.l_quantity))
+
+
+@query("SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS low, CAST(ceil(c_acctbal) AS BIGINT) AS high, CAST(trunc(c_acctbal) AS BIGINT) AS whole, round(c_acctbal / 8, 1) AS near FROM customer")
+def map_rounding(get):
+    return customers(get).map(lambda k, r: row(low=floor_(r.c_acctbal), high=ceil_(r.c_acctbal), whole=trunc_(r.c_acctbal), near=round_(r.c_acctbal / 8.0, 1)))
+
+
+@query("SELECT c_custkey, CAST(floor((c_nationkey - 12) / 5.0) AS BIGINT) AS part, CAST((c_nationkey - 12) - 5 * floor((c_nationkey - 12) / 5.0) AS BIGINT) AS rest FROM customer")
+def map_div_mod(get):
+    return customers(get).map(lambda k, r: row(part=div(r.c_nationkey - 12, 5), rest=mod(r.c_nationkey - 12, 5)))
+
+
+@query("SELECT l_orderkey, bool_or(l_quantity > 45) AS some, bool_and(l_discount < 0.09) AS every FROM lineitem GROUP BY 1")
+def group_quantifiers(get):
+    return lines(get, "l_orderkey").group_map(lambda k, g: row(some=any_(g.l_quantity, lambda x: x > 45.0), every=all_(g.l_discount, lambda x: x < 0.09)))
+
+
+@query("SELECT source, sum(l.quality) AS good, max(l.toxic) AS worst, count(l.quality) AS known, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def group_known_aggregates(get):
+    t = documents(get).left_join(labels(get), lambda k, r: k.doc_id).select("source", "quality", "toxic").extend_key("source")
+    t = t.assume(complete=True).shrink_key("doc_id")
+    return t.group_map(lambda k, g: row(good=sum_known(g.quality), worst=max_known(g.toxic), known=count_known(g.quality), n=count(g.doc_id)))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, event_id, lead(event_id) OVER w AS after, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def lead_window(get):
+    return _events(get).ordered("ts", ("event_id",), after=("lead", "event_id"), n=("size", None)).select("event_id", "after", "n")
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus FROM orders UNION SELECT CAST(o_custkey AS BIGINT), o_orderstatus FROM orders WHERE o_totalprice > 1000")
+def union_distinct(get):
+    t = bag_source(get("orders"), ["o_custkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"], {"o_orderstatus": STATUS}, unique=("o_orderkey",))
+    rich = t.filter(lambda k, r: r.o_totalprice > 1000.0).select("o_orderstatus")
+    a, b = t.select("o_orderstatus").assume(disjoint_from=rich)  # bags add up; distinct comes after
+    return a.bind(b).distinct()
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0 OR c_acctbal > 5000")
+def disjointness_gate(get):
+    t = customers(get).select("c_acctbal")
+    a, b = disjointness_check(t.filter(lambda k, r: r.c_acctbal < 0.0), t.filter(lambda k, r: r.c_acctbal > 5000.0))
+    return a.bind(b)
+
+
+_WEIGHTS = "SELECT CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, 1 + (CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 0 END) + (CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 0 END) AS w FROM orders"
+
+
+@query(f"SELECT o_custkey, o_orderstatus FROM (SELECT o_custkey, o_orderstatus, unnest(range(CAST(sum(w) AS BIGINT))) FROM ({_WEIGHTS}) GROUP BY 1, 2)")
+def delta_apply(get):
+    t = bag_source(get("orders"), ["o_custkey"], ["o_orderstatus"], {"o_orderstatus": STATUS})
+    change = lambda k, weight: get("orders").filter(F.col("o_orderkey") % k == 0).select(F.col("o_custkey").cast("bigint").alias("o_custkey"), "o_orderstatus", F.lit(weight).alias("weight"))
+    return apply_deltas(t, change(3, -1).union(change(5, 2)))
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, round(sum(o_totalprice), 4) AS total, count(*) AS n FROM orders GROUP BY 1")
+def materialised_view(get):
+    t = bag_source(get("orders"), ["o_custkey"], ["o_totalprice"]).aggregate(total=lambda k, g: sum_(g.o_totalprice), n=lambda k, g: count(g.o_totalprice))
+    return rounded(refresh(t, f"bagwright_view_{uuid.uuid4().hex}"), "total")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT -c_custkey - 1, 1.5 FROM customer WHERE c_nationkey = 3")
+def ingest_update(get):
+    more = get("customer").filter("c_nationkey = 3").select((-F.col("c_custkey") - 1).alias("c_custkey"), F.lit(1.5).alias("c_acctbal"))
+    return update(insert(customers(get).select("c_acctbal"), more), lambda k, r: r.c_acctbal < 0.0, c_acctbal=lambda k, r: 0.0)
+
+
 def queries():
     return dict(QUERIES)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.domains import Domain, RuleError, of_type
+from ..functions.expressions import choose, lift
 from ..operators.table import Field, KeyedTable, TableType
 
 
@@ -26,10 +28,15 @@ def _table(df: DataFrame, index: list[str], values: list[str] | None, domains: d
     return df, tuple(fields[: len(index)]), tuple(fields[len(index) :])
 
 
-def store(df: DataFrame, index: list[str], values: list[str] | None = None, domains: dict[str, Domain] | None = None, optional: tuple[str, ...] = (), const: tuple[str, ...] = (), complete: bool = False) -> KeyedTable:
-    """A table with one row per key. ``validate`` tells whether the data keep to that."""
+def store(df: DataFrame, index: list[str], values: list[str] | None = None, domains: dict[str, Domain] | None = None, optional: tuple[str, ...] = (), const: tuple[str, ...] = (), complete: bool = False, checked: bool = False) -> KeyedTable:
+    """A table with one row per key.
+
+    That is declared, not checked, as a check costs a pass and a shuffle of the keys; operators rely on it. With
+    ``checked`` the data go through ``validate`` first.
+    """
     df, index_, values_ = _table(df, index, values, domains or {}, optional, const)
-    return KeyedTable(df, TableType(index_, values_, frozenset((frozenset(index),)), complete))
+    made = KeyedTable(df, TableType(index_, values_, frozenset((frozenset(index),)), complete))
+    return validate(made) if checked else made
 
 
 def bag_source(df: DataFrame, index: list[str], values: list[str] | None = None, domains: dict[str, Domain] | None = None, optional: tuple[str, ...] = (), unique: tuple[str, ...] = (), complete: bool = False) -> KeyedTable:
@@ -88,12 +95,41 @@ def materialise(t: KeyedTable, name: str) -> bool:
     return True
 
 
+def refresh(t: KeyedTable, name: str) -> KeyedTable:
+    """The view ``t`` as the rows of the catalogue table ``name`` (made if it isn't there), and that table."""
+    materialise(t, name)
+    t.df.select(*t.type.names).write.mode("overwrite").insertInto(name)
+    return KeyedTable(t.df.sparkSession.table(name), t.type)
+
+
+def insert(t: KeyedTable, rows: DataFrame) -> KeyedTable:
+    """The table with further rows, which must keep to its type and, where keys come once, have new ones."""
+    own = t.df.select(*t.type.names)
+    more = rows.select(*(F.col(f.name).cast(f.domain.spark).alias(f.name) for f in (*t.type.index, *t.type.values)))
+    validate(KeyedTable(more, t.type))
+    for key in t.type.keys:
+        if not more.join(own, sorted(key), "left_semi").isEmpty():
+            raise RuleError(f"rows share the key {sorted(key)}")
+    return KeyedTable(own.unionByName(more), replace(t.type, complete=False))
+
+
+def update(t: KeyedTable, where: Callable, **made: Callable) -> KeyedTable:
+    """The table with columns set anew in the rows for which ``where(key, row)`` holds; each is a function of key and row."""
+    return t.map(lambda k, r: {**r._exprs, **{n: choose(where(k, r), lift(f(k, r)), r[n]) for n, f in made.items()}})
+
+
+#: Copies of a row that are made at a time.
+COPIES = 1 << 16
+
+
 def apply_deltas(t: KeyedTable, deltas: DataFrame, weight: str = "weight") -> KeyedTable:
-    """The bag after weighted changes: rows whose weights (1 each in the table) sum to n come n times."""
+    """The bag after weighted changes: rows whose weights (1 each in the table) sum to n come n times, however large n is."""
     names = t.type.names
     both = t.df.withColumn(weight, F.lit(1).cast("bigint")).unionByName(deltas.select(*names, F.col(weight).cast("bigint").alias(weight)))
     n = both.groupBy(*names).agg(F.sum(weight).alias("_n")).filter("_n > 0")
-    df = n.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    # In two steps, so that no array has all copies.
+    chunks = n.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(COPIES).cast("bigint"))))
+    df = chunks.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(COPIES), F.col("_n") - F.col("_from"))))).select(*names)
     return KeyedTable(df, replace(t.type, keys=frozenset()))
 
 

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagwright.functions.domains import RuleError, enum
-from bagwright.functions.expressions import any_, count, lift, max_, mean, sum_, to_real
+from bagwright.functions.expressions import any_, count, div, floor_, hashed, lift, max_, mean, mod, sum_, to_real
 from bagwright.operators.table import cond, disjoint, disjointness_check, evaluate, folds, row
-from bagwright.sources.stores import apply_deltas, bag_source, conforms, materialise, references, store, validate
+from bagwright.sources.stores import apply_deltas, bag_source, conforms, insert, materialise, references, store, update, validate
 
 XY = enum("x", "y")
 
@@ -171,3 +171,52 @@ def test_stream(spark, tmp_path):
     q = latest(stream, ["u"], "ts", "v").writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.u: r.v for r in spark.table("newest").collect()} == {1: 2.0, 2: 4.0}
+
+
+def test_large_deltas_and_ingestion(spark, single, bag):
+    changed = apply_deltas(single.select("a"), spark.createDataFrame([(1, 5, 200_000), (9, 9, 131_072)], "k long, a long, weight long"))
+    assert changed.df.groupBy("k").count().filter("k IN (1, 9)").agg(F.sum("count")).first()[0] >= 331_072
+    t = store(spark.createDataFrame([(1, 2), (3, 4)], "k long, a long"), ["k"], checked=True)
+    with pytest.raises(RuleError, match="share the key"):
+        insert(t, spark.createDataFrame([(1, 9)], "k long, a long"))
+    with pytest.raises(RuleError, match="share the key"):
+        store(spark.createDataFrame([(1, 2), (1, 4)], "k long, a long"), ["k"], checked=True)
+    grown = insert(t, spark.createDataFrame([(5, 6)], "k long, a long"))
+    assert rows(update(grown, lambda k, r: k.k > 2, a=lambda k, r: r.a * 10)) == Counter({(1, 2): 1, (3, 40): 1, (5, 60): 1})
+    with pytest.raises(RuleError, match="ties"):
+        bag.ordered("a", before=("lag", "a"))
+    for bad in (lambda r: floor_(r.a), lambda r: div(r.a, 0), lambda r: mod(r.a, r.a)):
+        with pytest.raises(RuleError):
+            t.map(lambda k, r, bad=bad: row(x=bad(r)))
+    parts = t.map(lambda k, r: row(part=hashed(4, k.k, r.a))).df.collect()
+    assert all(0 <= r.part < 4 for r in parts)
+
+
+def test_stream_operators(spark, tmp_path):
+    """Rows, joins with a fixed side, splits and binds on a stream give what the batch gives; so does a refreshed view."""
+    from bagwright.streaming.windows import refreshed
+
+    spark.createDataFrame([(i, i % 3, float(i)) for i in range(40)], "k long, g long, v double").repartition(4).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    names = store(spark.createDataFrame([(0, "a"), (1, "b")], "g long, name string"), ["g"])
+
+    def pipeline(df):
+        t = store(df, ["k"]).map(lambda k, r: cond(r.v > 3.0, row(g=r.g, v=r.v * 2.0), ()))
+        even, odd = t.split(lambda k: mod(k.k, 2) == 0)
+        halves = even.map(lambda k, r: row(g=r.g, v=r.v + 1.0)).bind(odd)
+        return halves.left_join(names, lambda k, r: r.g).df
+
+    q = pipeline(stream).writeStream.format("memory").queryName("rows_of_stream").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    want = Counter(tuple(r) for r in pipeline(batch).collect())
+    assert Counter(tuple(r) for r in spark.table("rows_of_stream").collect()) == want and len(want) == 36
+    view, saved, batches = (lambda df: df.groupBy("g").agg(F.sum("v").alias("s"))), {}, []
+
+    def save(changes, batch_id):
+        batches.append(batch_id)
+        saved.update({r.g: r.s for r in changes.collect()})
+
+    q = refreshed(stream, view, save, str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert saved == {r.g: r.s for r in view(batch).collect()} and len(batches) > 1
