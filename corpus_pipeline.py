@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagwright.llm import jaccard, langid, lines, packing, suffix
-from bagwright.llm.common import saved, table
+from bagwright.llm.common import discard, saved, scratch, table
 
 #: A document goes if its language is undetermined or its score is lower than this.
 LEAST_SCORE = 0.5
@@ -63,8 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order to documents."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs, "pipeline")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch():  # what the stage made on its way goes, and then what it read
+            docs = saved(stage(spark, before, sf_dir), "pipeline")
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
