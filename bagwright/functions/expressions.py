@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .domains import BOOL, INT, REAL, STRING, Domain, RuleError, of_value
+from .domains import BOOL, INT, REAL, STRING, TIMESTAMP, Domain, RuleError, of_value
 
 
 @dataclass(frozen=True, eq=False)
@@ -338,6 +338,11 @@ def hashed(n: int, *values: Expr) -> Expr:
     return values[0]._with(lambda *x: F.pmod(F.xxhash64(*x), F.lit(n)), *values[1:], domain=INT)
 
 
+def now() -> Expr:
+    """The time at which the query began, the same for all its rows (of each batch, on a stream)."""
+    return Expr(F.localtimestamp(), TIMESTAMP)
+
+
 class Columns:
     """The columns in scope, as attributes or items."""
 

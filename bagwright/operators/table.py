@@ -1,8 +1,8 @@
 """Keyed tables: a DataFrame of index and value columns, and the facts that make its pipelines sound.
 
 Each key has a bag of rows (one DataFrame row each). Four facts go along: whether a key has one row
-at most, which columns may hold missing values, whether each key's rows are complete, and from
-which sides of which splits the rows come. Operators check their rules at once, before any job, and lower to plain
+at most, which columns may hold missing values, whether each key's rows are complete (or complete over some
+columns of the key), and from which sides of which splits, or blocks of which partitions, the rows come. Operators check their rules at once, before any job, and lower to plain
 DataFrame operations; projections, filters, key changes and unions never shuffle.
 """
 
@@ -32,13 +32,14 @@ class Field:
 
 @dataclass(frozen=True)
 class TableType:
-    """keys: sets of columns that no two rows share (candidate keys). lineage: one path of split sides per origin."""
+    """keys: sets of columns that no two rows share (candidate keys). complete_over: columns whose every value is there for each rest of the key. lineage: one path per origin of (split, side) or (partition, block)."""
 
     index: tuple[Field, ...]
     values: tuple[Field, ...]
     keys: frozenset[frozenset[str]] = frozenset()
     complete: bool = False
-    lineage: frozenset[tuple[tuple[int, bool], ...]] = frozenset(((),))
+    lineage: frozenset[tuple[tuple[int | str, bool | str], ...]] = frozenset(((),))
+    complete_over: frozenset[str] = frozenset()
 
     @property
     def singletons(self) -> bool:
@@ -57,9 +58,14 @@ class TableType:
 
 
 def disjoint(a: TableType, b: TableType) -> bool:
-    """Whether one split sends all origins of ``a`` to one side and all of ``b`` to the other."""
-    sides = {s for path in a.lineage for s in path}
-    return any(all((k, side) in p for p in a.lineage) and all((k, not side) in p for p in b.lineage) for k, side in sides)
+    """Whether one split or partition sends the origins of ``a`` to other sides or blocks than those of ``b``."""
+
+    def sides(t: TableType, of) -> set:
+        found = [{side for k, side in path if k == of} for path in t.lineage]
+        return set().union(*found) if all(found) else set()
+
+    splits = {k for path in a.lineage for k, _ in path}
+    return any((x := sides(a, k)) and (y := sides(b, k)) and not x & y for k in splits)
 
 
 class Choice:
@@ -278,8 +284,8 @@ class KeyedTable:
         return self._derived(self.df, index=(*self.type.index, *moved), values=tuple(f for f in self.type.values if f not in moved))
 
     def shrink_key(self, *names: str) -> KeyedTable:
-        """Key columns become values; rows of merged keys pool. Only for complete tables; the splits are forgotten."""
-        if not self.type.complete:
+        """Key columns become values; rows of merged keys pool. Only for tables complete as such or over these columns; the splits are forgotten."""
+        if not self.type.complete and not set(names) <= self.type.complete_over:
             raise RuleError("shrink_key needs a complete table: check or assume completeness first")
         if not names or set(names) - set(self.index):
             raise RuleError(f"shrink_key takes columns of the key {self.index}")
@@ -349,6 +355,7 @@ class KeyedTable:
             values=tuple(replace(f, optional=f.optional or f.name in optional) for f in self.type.values),
             keys=keys,
             complete=self.type.complete and other.type.complete,
+            complete_over=self.type.complete_over & other.type.complete_over,
             lineage=self.type.lineage | other.type.lineage,
         )
 
@@ -394,7 +401,7 @@ class KeyedTable:
 
     def pivot_index(self, name: str, value: str) -> KeyedTable:
         """As ``pivot``, for a ``name`` in the key: only for complete tables of one row per key."""
-        if not self.type.complete or not self.type.singletons:
+        if not (self.type.complete or name in self.type.complete_over) or not self.type.singletons:
             raise RuleError("pivot over the key needs a complete table with one row per key")
         if name not in self.index:
             raise RuleError(f"{name} isn't in the key")
@@ -423,6 +430,16 @@ class KeyedTable:
     def row_count(self) -> int:
         return self.df.count()
 
+    def cardinality(self, keys: KeyedTable, name: str = "n") -> KeyedTable:
+        """How many rows each key of ``keys`` (one row per key, the same index) has here; 0 for a key without rows."""
+        if [(f.name, f.domain) for f in keys.type.index] != [(f.name, f.domain) for f in self.type.index] or not keys.type.singletons:
+            raise RuleError("cardinality takes a table of the same index with one row per key")
+        if not self.index or name in self.index:
+            raise RuleError("cardinality needs a key, and a name that isn't in it")
+        n = self.df.groupBy(*self.index).agg(F.count(F.lit(1)).alias(name))
+        df = keys.df.select(*self.index).join(n, self.index, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+        return KeyedTable(df, replace(keys.type, values=(Field(name, INT),), keys=frozenset((frozenset(self.index),))))
+
 
 def disjointness_check(a: KeyedTable, b: KeyedTable, *columns: str) -> tuple[KeyedTable, KeyedTable]:
     """Both tables, known to be disjoint if they share no values of ``columns`` (their keys, if none) now."""

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.domains import DATE, enum
 from ..functions.expressions import all_, any_, ceil_, count, count_known, div, floor_, lift, max_, max_known, mean, min_, mod, round_, sum_, sum_known, to_real, trunc_
 from ..operators.table import KeyedTable, cond, disjointness_check, evaluate, folds, row
-from ..sources.stores import apply_deltas, bag_source, insert, load, refresh, store, update
+from ..operators.validation import grouped_folds, stratified_folds, temporal_folds
+from ..sources.stores import apply_deltas, bag_source, insert, load, outlives, refresh, store, update
 from ..streaming import windows
 
 FLAG, STATUS, LINE = enum("A", "N", "R"), enum("F", "O", "P"), enum("F", "O")
@@ -511,6 +512,86 @@ def ingest_update(get):
     return update(insert(customers(get).select("c_acctbal"), more), lambda k, r: r.c_acctbal < 0.0, c_acctbal=lambda k, r: 0.0)
 
 
+def measured(pairs, of: str) -> DataFrame:
+    """Per fold: rows of train, rows of test and the sum of ``of`` in test."""
+
+    def side(i: int, **made):
+        n = {"n_train": F.lit(0), "n_test": F.lit(0), "test_sum": F.lit(0), **made}
+        return lambda d: d.agg(F.lit(i).cast("bigint").alias("fold"), *(c.cast("bigint").alias(x) for x, c in n.items()))
+
+    out = None
+    for i, (train, test) in enumerate(pairs):
+        tested = side(i, n_test=F.count(F.lit(1)), test_sum=F.coalesce(F.sum(of), F.lit(0)))
+        part = evaluate(train, test, side(i, n_train=F.count(F.lit(1))), lambda model, d, tested=tested: model.union(tested(d)))
+        out = part if out is None else out.union(part)
+    return out.groupBy("fold").agg(*(F.sum(x).alias(x) for x in ("n_train", "n_test", "test_sum")))
+
+
+def _folds_sql(fold: str, table: str, of: str) -> str:
+    return f"SELECT CAST(f AS BIGINT) AS fold, count(*) FILTER (fold = f) AS n_test, CAST(sum({of}) FILTER (fold = f) AS BIGINT) AS test_sum, count(*) FILTER (fold <> f) AS n_train FROM (SELECT {of}, {fold} AS fold FROM {table}), range(3) t(f) GROUP BY 1"
+
+
+@query(_folds_sql("o_custkey % 3", "orders", "o_orderkey"))
+def grouped_folds_disjoint(get):
+    t = bag_source(get("orders"), ["o_custkey"], ["o_orderkey"])
+    return measured(grouped_folds(t, 3, "o_custkey", number=lambda k: k.o_custkey), "o_orderkey")
+
+
+@query(_folds_sql("(row_number() OVER (PARTITION BY lang ORDER BY doc_id % 64, doc_id) - 1) % 3", "documents", "n_chars"))
+def stratified_folds_disjoint(get):
+    t = documents(get).select("n_chars", "lang")
+    return measured(stratified_folds(t, 3, "lang", number=lambda k: k.doc_id, parts=64), "n_chars")
+
+
+_CUTS = [dt.date(1994, 1, 1), dt.date(1996, 1, 1), dt.date(1997, 1, 1)]
+
+
+@query(
+    "SELECT fold, count(*) FILTER (d >= a AND d < b) AS n_test, CAST(sum(o_orderkey) FILTER (d >= a AND d < b) AS BIGINT) AS test_sum, count(*) FILTER (d < a) AS n_train "
+    "FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders), (VALUES (0::BIGINT, DATE '1994-01-01', DATE '1996-01-01'), (1, DATE '1996-01-01', DATE '1997-01-01'), (2, DATE '1997-01-01', DATE '9999-01-01')) t(fold, a, b) GROUP BY 1"
+)
+def temporal_folds_disjoint(get):
+    t = store(get("orders"), ["o_orderkey"], ["o_orderdate"], {"o_orderdate": DATE})
+    return measured(temporal_folds(t, "o_orderdate", *_CUTS), "o_orderkey")
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
+def row_cardinality(get):
+    t = bag_source(get("orders").withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], ["o_orderkey"])
+    return t.cardinality(customers(get))
+
+
+@query("SELECT CAST(o_custkey AS BIGINT) AS o_custkey, count(*) AS n FROM orders GROUP BY 1")
+def complete_over_shrink(get):
+    t = store(get("orders"), ["o_custkey", "o_orderkey"], ["o_orderstatus"], {"o_orderstatus": STATUS}, complete_over=("o_orderkey",))
+    return t.shrink_key("o_orderkey").group_map(lambda k, g: row(n=count(g.o_orderkey)))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def disjoint_partition_bind(get):
+    done, open_ = (store(get("orders").filter(F.col("o_orderstatus") == s), ["o_orderkey"], ["o_totalprice"], block=("status", s)) for s in ("F", "O"))
+    return done.bind(open_).group_map(lambda k, g: row(o_totalprice=sum_(g.o_totalprice)))
+
+
+_TERMS = "SELECT o_custkey AS of, min(o_orderdate) AS since, max(o_orderdate) AS until FROM orders GROUP BY 1"
+
+
+def _terms(get) -> DataFrame:
+    return get("orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("since"), F.max("o_orderdate").alias("until"))
+
+
+@query(f"SELECT o_orderkey, o_custkey, since FROM orders LEFT JOIN ({_TERMS}) ON o_custkey = of AND since <= o_orderdate AND o_orderdate < until")
+def interval_join(get):
+    t = get("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return windows.join_valid(t, _terms(get), ["o_custkey"], "o_orderdate", "since", "until", "left").select("o_orderkey", "o_custkey", "since")
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderdate FROM orders")
+def outlives_gate(get):
+    terms = store(_terms(get).withColumn("until", F.lit(None).cast("timestamp")), ["o_custkey"], optional=("until",))
+    return outlives(store(get("orders"), ["o_orderkey"], ["o_custkey", "o_orderdate"]), "o_custkey", "o_orderdate", terms, "since", "until")
+
+
 def queries():
     return dict(QUERIES)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.domains import Domain, RuleError, of_type
 from ..functions.expressions import choose, lift
 from ..operators.table import Field, KeyedTable, TableType
+from ..streaming.windows import valid_at
 
 
 def _table(df: DataFrame, index: list[str], values: list[str] | None, domains: dict[str, Domain], optional: tuple[str, ...], const: tuple[str, ...]) -> tuple[DataFrame, tuple[Field, ...], tuple[Field, ...]]:
@@ -28,14 +29,19 @@ def _table(df: DataFrame, index: list[str], values: list[str] | None, domains: d
     return df, tuple(fields[: len(index)]), tuple(fields[len(index) :])
 
 
-def store(df: DataFrame, index: list[str], values: list[str] | None = None, domains: dict[str, Domain] | None = None, optional: tuple[str, ...] = (), const: tuple[str, ...] = (), complete: bool = False, checked: bool = False) -> KeyedTable:
+def store(df: DataFrame, index: list[str], values: list[str] | None = None, domains: dict[str, Domain] | None = None, optional: tuple[str, ...] = (), const: tuple[str, ...] = (), complete: bool = False, checked: bool = False, complete_over: tuple[str, ...] = (), block: tuple[str, str] | None = None) -> KeyedTable:
     """A table with one row per key.
 
     That is declared, not checked, as a check costs a pass and a shuffle of the keys; operators rely on it. With
-    ``checked`` the data go through ``validate`` first.
+    ``checked`` the data go through ``validate`` first. Declared as well: ``complete`` (a source that collects every
+    row is complete by construction), ``complete_over`` (columns of the key whose every value is there for each rest of
+    the key) and ``block``, a partition's name and the block that this table is: blocks of one partition are disjoint.
     """
     df, index_, values_ = _table(df, index, values, domains or {}, optional, const)
-    made = KeyedTable(df, TableType(index_, values_, frozenset((frozenset(index),)), complete))
+    if bad := set(complete_over) - set(index):
+        raise RuleError(f"a table is complete over columns of its key; {sorted(bad)} aren't")
+    lineage = frozenset((() if block is None else (tuple(block),),))
+    made = KeyedTable(df, TableType(index_, values_, frozenset((frozenset(index),)), complete, lineage, frozenset(complete_over)))
     return validate(made) if checked else made
 
 
@@ -76,6 +82,22 @@ def references(t: KeyedTable, column: str, other: KeyedTable) -> KeyedTable:
     return t
 
 
+def outlives(t: KeyedTable, column: str, at: str, other: KeyedTable, since: str, until: str) -> KeyedTable:
+    """The table, if each known value of ``column`` is a key of ``other`` with a row that holds at the time ``at``.
+
+    A row of ``other`` holds from ``since`` up to, not including, ``until`` (missing: without end). A known value at a missing time is refused.
+    """
+    if len(other.type.index) != 1 or t.type.field(column).domain.spark != other.type.index[0].domain.spark:
+        raise RuleError("a reference goes to one index column of the same domain")
+    if len({t.type.field(at).domain, other.type.field(since).domain, other.type.field(until).domain}) > 1:
+        raise RuleError(f"{at}, {since} and {until} are of different domains")
+    ends = other.df.select(F.col(other.index[0]).alias("_key"), F.col(since).alias("_since"), F.col(until).alias("_until"))
+    uses = t.df.filter(F.col(column).isNotNull()).select(F.col(column).alias("_of"), F.col(at).alias("_at"))
+    if not uses.join(ends, (F.col("_of") == F.col("_key")) & valid_at("_at", "_since", "_until"), "left_anti").isEmpty():
+        raise RuleError(f"{column} holds values that are no key at {at}")
+    return t
+
+
 def conforms(t: KeyedTable, *fields: Field) -> KeyedTable:
     """The table, if it has these columns (a known column fits where a missing one would be allowed)."""
     for f in fields:
@@ -110,7 +132,7 @@ def insert(t: KeyedTable, rows: DataFrame) -> KeyedTable:
     for key in t.type.keys:
         if not more.join(own, sorted(key), "left_semi").isEmpty():
             raise RuleError(f"rows share the key {sorted(key)}")
-    return KeyedTable(own.unionByName(more), replace(t.type, complete=False))
+    return KeyedTable(own.unionByName(more), replace(t.type, complete=False, complete_over=frozenset()))
 
 
 def update(t: KeyedTable, where: Callable, **made: Callable) -> KeyedTable:

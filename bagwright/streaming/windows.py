@@ -34,6 +34,27 @@ def latest(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
     return best.select(*keys, *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
+def valid_at(at: str, since: str, until: str) -> Column:
+    """Whether what holds from ``since`` up to, not including, ``until`` (missing: without end) holds at ``at``."""
+    return (F.col(since) <= F.col(at)) & (F.col(until).isNull() | (F.col(at) < F.col(until)))
+
+
+def join_valid(left: DataFrame, right: DataFrame, on: list[str], at: str, since: str, until: str, how: str = "inner") -> DataFrame:
+    """Each row of ``left`` (a batch or a stream) with the rows of the fixed ``right`` of equal ``on`` that hold at its time; ``how`` may be left.
+
+    Equal keys decide where rows meet, the interval is tested there. Missing keys or times meet nothing.
+    """
+    if clash := sorted((set(left.columns) & set(right.columns)) - set(on)):
+        raise ValueError(f"both sides have columns {clash}")
+    if how not in ("inner", "left"):
+        raise ValueError("an interval join is inner or left")
+    other = right.withColumnsRenamed({c: f"_on_{i}" for i, c in enumerate(on)})
+    test = valid_at(at, since, until)
+    for i, c in enumerate(on):
+        test &= F.col(c) == F.col(f"_on_{i}")
+    return left.join(other, test, how).drop(*(f"_on_{i}" for i in range(len(on))))
+
+
 def refreshed(stream: DataFrame, view: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame, int], None], checkpoint: str):
     """A streaming query that gives each change of ``view(stream)`` to ``save(changes, batch)``."""
     return view(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)

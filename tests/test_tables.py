@@ -1,5 +1,6 @@
 """Rules, facts and laws of keyed tables."""
 
+import datetime as dt
 import random
 from collections import Counter
 
@@ -7,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from bagwright.functions.domains import RuleError, enum
-from bagwright.functions.expressions import any_, count, div, floor_, hashed, lift, max_, mean, mod, sum_, to_real
+from bagwright.functions.expressions import any_, count, div, floor_, hashed, lift, max_, mean, mod, now, sum_, to_real
 from bagwright.operators.table import cond, disjoint, disjointness_check, evaluate, folds, row
-from bagwright.sources.stores import apply_deltas, bag_source, conforms, insert, materialise, references, store, update, validate
+from bagwright.operators.validation import grouped_folds, stratified_folds, temporal_folds
+from bagwright.sources.stores import apply_deltas, bag_source, conforms, insert, materialise, outlives, references, store, update, validate
 
 XY = enum("x", "y")
 
@@ -157,6 +159,92 @@ def test_sources(spark, single, bag):
         assert evaluate(train, test, lambda d: d.count(), lambda m, d: m + d.count()) == 3
 
 
+def test_declared_facts(spark, single, bag):
+    df = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "k long, j long, a long")
+    t = store(df, ["k", "j"], complete_over=("j",))
+    assert rows(t.shrink_key("j").group_map(lambda k, g: row(n=count(g.a)))) == Counter({(1, 2): 1, (2, 1): 1})
+    bad = [
+        lambda: t.shrink_key("k"),
+        lambda: store(df, ["k", "j"], complete_over=("a",)),
+        lambda: insert(t, spark.createDataFrame([(9, 9, 9)], "k long, j long, a long")).shrink_key("j"),
+        lambda: t.bind(store(df, ["k", "j"])).shrink_key("j"),
+    ]
+    for f in bad:
+        with pytest.raises(RuleError):
+            f()
+    a, b, c = (store(df.filter(f"k = {k}"), ["k", "j"], block=("cohort", str(k))) for k in (1, 2, 3))
+    other = store(df, ["k", "j"], block=("region", "1"))
+    assert disjoint(a.type, b.type) and a.bind(b).type.singletons
+    assert disjoint(a.bind(b).type, c.type) and not disjoint(a.bind(b).type, b.type)
+    assert not disjoint(a.type, a.type) and not disjoint(a.type, other.type) and not disjoint(a.type, t.type)
+    x, y = a.split(lambda k: k.j < 2)
+    assert disjoint(x.type, y.type) and disjoint(x.type, b.type) and evaluate(x, b, lambda d: d.count(), lambda m, d: m + d.count()) == 2
+    assert rows(bag_source(df.select("k", "a"), ["k"]).cardinality(single)) == Counter({(1, 2): 1, (2, 1): 1, (3, 0): 1})
+    for f in (lambda: bag.cardinality(bag), lambda: t.cardinality(single), lambda: single.cardinality(single, "k")):
+        with pytest.raises(RuleError):
+            f()
+    assert single.map(lambda k, r: row(t=now())).df.distinct().count() <= 3 and single.map(lambda k, r: row(late=now() < dt.datetime(2020, 1, 1))).df.filter("late").isEmpty()
+
+
+def test_folds(spark, bag):
+    rng = random.Random(5)
+    # Half of all rows in one stratum, one stratum missing, one of a single row; the keys are texts and numbers.
+    data = [(i, f"w{i % 7}", rng.choice(["a", "a", "b", None]), i % 5, i) for i in range(300)] + [(900, "w", "lone", 0, 900)]
+    t = store(spark.createDataFrame(data, "k long, w string, s string, g long, day long"), ["k", "w"], optional=("s",))
+    everything = rows(t)
+    for parts in (1, 4, 4096):
+        made = stratified_folds(t, 3, "s", parts=parts)
+        sizes = [Counter(r.s for r in test.df.collect()) for _, test in made]
+        for s in ("a", "b", None, "lone"):
+            n = [x[s] for x in sizes]
+            assert max(n) - min(n) <= 1 and sum(n) == sum(1 for d in data if d[2] == s)
+        for train, test in made:
+            assert disjoint(train.type, test.type) and rows(train) + rows(test) == everything
+            assert evaluate(train, test, lambda d: d.count(), lambda m, d: m + d.count()) == len(data)
+    groups = [(({r.g for r in a.df.collect()}), {r.g for r in b.df.collect()}) for a, b in grouped_folds(t, 3, "g")]
+    assert all(not a & b and a | b == set(range(5)) for a, b in groups)
+    timed = temporal_folds(t, "day", 100, 200)
+    assert [(a.df.count(), b.df.count()) for a, b in timed] == [(100, 100), (200, 101)] and all(disjoint(a.type, b.type) for a, b in timed)
+    empty = store(t.df.limit(0), ["k", "w"], optional=("s",))
+    assert all(not rows(a) and not rows(b) for a, b in stratified_folds(empty, 2, "s"))
+    bad = [
+        lambda: stratified_folds(bag, 2, "a"),
+        lambda: stratified_folds(t, 1, "s"),
+        lambda: stratified_folds(t, 2),
+        lambda: grouped_folds(t, 2),
+        lambda: grouped_folds(t, 2, "s"),
+        lambda: grouped_folds(t, 2, "g", number=lambda k: k.k),
+        lambda: temporal_folds(t, "day"),
+        lambda: temporal_folds(t, "day", 5, 5),
+        lambda: temporal_folds(t, "w", "a"),
+    ]
+    for f in bad:
+        with pytest.raises(RuleError):
+            f()
+
+
+def test_intervals(spark, tmp_path):
+    from bagwright.streaming.windows import join_valid
+
+    uses = spark.createDataFrame([(1, "c", 5), (2, "c", 9), (3, "d", 1), (4, None, 1), (5, "c", None), (6, "none", 3)], "id long, of string, at long")
+    terms = spark.createDataFrame([("c", 0, 9), ("c", 9, 12), ("d", 0, None), ("e", 0, 2)], "of string, since long, until long")
+    view = lambda df, how: join_valid(df, terms, ["of"], "at", "since", "until", how)
+    assert {(r.id, r.since) for r in view(uses, "inner").collect()} == {(1, 0), (2, 9), (3, 0)}
+    assert {(r.id, r.since) for r in view(uses, "left").collect()} == {(1, 0), (2, 9), (3, 0), (4, None), (5, None), (6, None)}
+    uses.write.parquet(str(tmp_path / "in"))
+    q = view(spark.readStream.schema(uses.schema).parquet(str(tmp_path / "in")), "left").writeStream.format("memory").queryName("valid_uses").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert {tuple(r) for r in spark.table("valid_uses").collect()} == {tuple(r) for r in view(uses, "left").collect()}
+    with pytest.raises(ValueError):
+        join_valid(uses, terms.withColumn("id", F.lit(1)), ["of"], "at", "since", "until")
+    ends = store(terms.filter("since = 0").select("of", "since", "until"), ["of"], optional=("until",))
+    held = store(uses.filter("id IN (1, 3, 4)"), ["id"], optional=("of", "at"))
+    assert outlives(held, "of", "at", ends, "since", "until") is held
+    for k in (2, 5, 6):
+        with pytest.raises(RuleError, match="no key"):
+            outlives(store(uses.filter(f"id IN (1, {k})"), ["id"], optional=("of", "at")), "of", "at", ends, "since", "until")
+
+
 def test_stream(spark, tmp_path):
     from bagwright.streaming.windows import latest, windowed
 
